@@ -114,7 +114,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
 def _fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples = []
     for whole in parts:
-        for batch in bounded(whole, "text", 8 << 20):
+        for batch in bounded(whole, "text", 2 << 20):
             places, counts = features(batch.column("text"))
             ends = np.cumsum(counts)
             for a, b, label in zip((ends - counts).tolist(), ends.tolist(), batch.column("label").to_pylist()):
@@ -152,7 +152,7 @@ def add_score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> Data
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts], ["text"])
-        return pa.array(np.concatenate([scores(b.column(0), shared.value) for b in bounded(batch, "text", 8 << 20)]) if len(texts) else np.empty(0))
+        return pa.array(np.concatenate([scores(b.column(0), shared.value) for b in bounded(batch, "text", 2 << 20)]) if len(texts) else np.empty(0))
 
     return without(docs, name).withColumn(name, scored(F.col("text").cast("string")))
 
