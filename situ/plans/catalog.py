@@ -50,6 +50,14 @@ min(ts) FILTER (event_type = 'view') AS v, min(ts) FILTER (event_type = 'purchas
 _CASES = "(SELECT DISTINCT user_id FROM events) AS u"
 
 
+_KIND = """CASE WHEN acts = {0} THEN NULL WHEN list_sort(acts) = list_sort({0}) THEN 'SWAP' WHEN len(acts) < 3 AND list_has_all({0}, acts) THEN 'SKIP'
+WHEN len(acts) > 3 AND list_has_all(acts, {0}) THEN 'INSERT' ELSE 'MIXED' END"""
+_DEVIATION = f"""WITH e AS (SELECT user_id, ts, event_type AS a FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+t AS (SELECT user_id, list(a ORDER BY ts, a) AS acts, string_agg(CASE a WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' WHEN 'purchase' THEN 'p' WHEN 'error' THEN 'e' ELSE '?' END, '' ORDER BY ts, a) AS s FROM e GROUP BY user_id),
+d AS (SELECT *, levenshtein(s, 'vcp') / greatest(length(s), 3) AS x, levenshtein(s, 'cve') / greatest(length(s), 3) AS y FROM t)
+SELECT user_id, round(least(x, y), 6) AS score, CASE WHEN x <= y THEN {_KIND.format("['view', 'click', 'purchase']")} ELSE {_KIND.format("['click', 'view', 'error']")} END AS kind FROM d"""
+
+
 def _round(column: str, name: str, places: int = 6) -> str:
     return f"round({column}, {places}) AS {name}"
 
@@ -162,6 +170,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "p_variant": (f"SELECT v.variant, COUNT(*) AS n FROM (SELECT VARIANT(u.user_id) AS variant FROM {_CASES}) AS v GROUP BY v.variant", f"{_TRACE} SELECT path AS variant, count(*) AS n FROM t GROUP BY 1"),
     "p_activity_count": ("SELECT c.c_custkey, ACTIVITY_COUNT(c.c_custkey) AS n FROM customer AS c", f"{_TRACE} SELECT c_custkey, coalesce(n, 0)::INT AS n FROM customer LEFT JOIN t ON user_id = c_custkey"),
     "p_conforms": (f"SELECT u.user_id, CONFORMS_TO(u.user_id, 'visit') AS ok FROM {_CASES}", f"{_TRACE} SELECT user_id, path IN ('view -> click -> purchase', 'click -> view -> error') AS ok FROM t"),
+    "p_deviation": (f"SELECT u.user_id, round(DEVIATION_SCORE(u.user_id, 'visit'), 6) AS score, DEVIATION_TYPE(u.user_id, 'visit') AS kind FROM {_CASES}", _DEVIATION),
 }
 
 
@@ -179,15 +188,6 @@ def _algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, score_mode="algebra").execute(text).df
 
 
-def _deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deviation of each user's last five events."""
-    e = engine(spark, sf_dir)
-    e.spark.sql("SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events) WHERE n <= 5").createOrReplaceTempView("first_events")
-    e.register_event_log("firsts", "first_events", case="user_id", activity="event_type", timestamp="ts")
-    e.execute("SET situ.default_event_log = 'firsts'")
-    return e.execute(f"SELECT u.user_id, round(DEVIATION_SCORE(u.user_id, 'visit'), 6) AS score, DEVIATION_TYPE(u.user_id, 'visit') AS kind FROM {_CASES}").df
-
-
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).execute("SELECT round(bin_low, 4) AS bin_low, round(bin_high, 4) AS bin_high, count, round(frequency, 8) AS frequency FROM HISTOGRAM((SELECT o_totalprice FROM orders), 10) AS h").df
 
@@ -225,7 +225,6 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "c_score_algebra": (_algebra, f"{_OB} SELECT o_orderkey, round(least(greatest(sa, sb), d.s), 6) AS score FROM j JOIN debtor d ON d.k = o_custkey WHERE ma OR mb"),
-    "p_deviation": (_deviation, None),
     "t_histogram": (
         _histogram,
         "WITH e AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi, count(*) n FROM orders), c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9)::INT b, count(*) c FROM orders, e GROUP BY 1) SELECT round(lo + i * ((hi - lo) / 10), 4) AS bin_low, round(lo + (i + 1) * ((hi - lo) / 10), 4) AS bin_high, coalesce(c, 0) AS count, round(coalesce(c, 0) / n, 8) AS frequency FROM e, range(10) r(i) LEFT JOIN c ON b = i",
