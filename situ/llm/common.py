@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def id_or_null(key: Column) -> Column:
     return F.when(key != NO_ID, key)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers are kept, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The columns that none of the names stands for, in whatever case: operators replace columns of their own names."""
     taken = {n.lower() for n in names}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import release, without, written
 from .tokens import batches as bounded
 
 #: Weights; features are hashed to these places.
@@ -25,6 +25,8 @@ SIZE = 1 << 18
 #: Labelled rows that a classifier is fitted on at most, chosen by a hash of their ids: the documented bound.
 MOST_ROWS = 6_000
 EPOCHS = 2
+#: Bytes of text whose features are in memory at once.
+BATCH = 1 << 19
 #: Follow-the-regularised-leader: learning rate, its offset, and L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 1.0, 0.1, 0.0, 1e-4
 
@@ -114,14 +116,17 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
 def _fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples = []
     for whole in parts:
-        for batch in bounded(whole, "text", 2 << 20):
+        for batch in bounded(whole, "text", BATCH):
             places, counts = features(batch.column("text"))
             ends = np.cumsum(counts)
             for a, b, label in zip((ends - counts).tolist(), ends.tolist(), batch.column("label").to_pylist()):
                 if b > a:
                     at, times = np.unique(places[:, a:b], return_counts=True)
                     examples.append((np.append(at, SIZE).astype(np.int32), np.append(times / (b - a), 1).astype(np.float32), label))
-    yield pa.record_batch([pa.array([fit(examples).tobytes()], pa.binary())], ["weights"])
+    weights = fit(examples).tobytes()
+    examples.clear()
+    release()
+    yield pa.record_batch([pa.array([weights], pa.binary())], ["weights"])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -152,7 +157,9 @@ def add_score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> Data
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts], ["text"])
-        return pa.array(np.concatenate([scores(b.column(0), shared.value) for b in bounded(batch, "text", 2 << 20)]) if len(texts) else np.empty(0))
+        found = [scores(b.column(0), shared.value) for b in bounded(batch, "text", BATCH)]
+        release()
+        return pa.array(np.concatenate(found) if found else np.empty(0))
 
     return without(docs, name).withColumn(name, scored(F.col("text").cast("string")))
 
