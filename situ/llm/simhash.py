@@ -172,37 +172,73 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     raise AssertionError(spark)
 
 
+def _prints(words: int):
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    return prints
+
+
 def near_groups(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id that links reach, the
     row's own included.  Null and empty texts have fingerprint zero, which links like any other.  Rows that repeat give
-    rows that repeat.  A null doc_id counts as the largest one; component_id is null where no other is reached.  Other
+    rows that repeat.  Links hold between fingerprints, whatever ids have them.  A null doc_id counts as the largest one; component_id is null where no other is reached.  Other
     columns are ignored.  An empty table gives an empty result.
     """
-
-    @F.arrow_udf("long")
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], np.uint64).view(np.int64))
-
+    prints = _prints(words)
     rows = written(docs.select(id_key().alias("id"), prints(F.col("text").cast("string")).alias("fp")))
-    firsts = written(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    shards = fingerprint_links(firsts.select("fp"), radius)
-    links = written(shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_linked(radius), "a long, b long"))
-    by = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id"))
-    edges = links.join(by("a"), "a").join(by("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = components(edges)
-    known = firsts.join(groups, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component"))
+    known = _grouped(written(rows.groupBy("fp").agg(F.min("id").alias("first"))), radius)
     return rows.join(known, "fp").select(
-        id_or_null(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id")
+        id_or_null(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null(F.col("keep_id")).alias("component_id")
     )
 
 
+def _print_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) among the distinct values of ``fp``, found with the shards' trees."""
+    shards = fingerprint_links(prints.select("fp"), radius)
+    return written(shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_linked(radius), "a long, b long"))
+
+
+def _kept(firsts: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """``firsts`` (node, first: its smallest id) with keep_id and keep_node: of the nodes that links reach, those of the smallest (id, node)."""
+    groups = components(links)
+    known = written(firsts.join(groups.withColumnRenamed("node", node), node, "left").select(node, "first", F.coalesce("component", node).alias("component")))
+    best = known.groupBy("component").agg(F.min(F.struct("first", node)).alias("best"))
+    return known.join(best, "component").select(node, F.col("best.first").alias("keep_id"), F.col(f"best.{node}").alias("keep_node"))
+
+
+def _grouped(firsts: DataFrame, radius: int) -> DataFrame:
+    """Fingerprints are the graph's nodes: ids may be missing or used again, and stand for a group only once it is known."""
+    return _kept(firsts, "fp", _print_links(firsts, radius))
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame, node: str, known: DataFrame, nodes) -> DataFrame:
+    """One row of ``docs`` for each group; ``rows`` has (id, node) of each, and ``nodes`` makes a node of texts.
+
+    An id that one row has finds that row.  Rows of other ids are found by node and id, and one of those that agree stays.
+    """
+    best = known.select(F.col("keep_node").alias("__node"), F.col("keep_id").alias("__id")).distinct()
+    shared = written(rows.groupBy(F.col("id").alias("__id")).count().where("count > 1").select("__id"))
+    docs = without(docs, "__key", "__node", "__id")
+    if shared.isEmpty():
+        return docs.join(best.select("__id"), id_key() == F.col("__id"), "left_semi")
+    best = written(best)
+    alone = docs.join(best.join(shared, "__id", "left_anti").select("__id"), id_key() == F.col("__id"), "left_semi")
+    again = docs.withColumn("__key", id_key()).join(shared, F.col("__key") == F.col("__id"), "left_semi").withColumn("__node", nodes(F.col("text").cast("string")))
+    again = again.join(best.withColumnRenamed("__node", "__best"), (F.col("__node") == F.col("__best")) & (F.col("__key") == F.col("__id")), "left_semi")
+    return alone.unionByName(again.dropDuplicates(["__key", "__node"]).select(*alone.columns))
+
+
 def near_deduplicate(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id: one document of each group stays, with all its columns.
+    """One row of ``docs`` of each component of near_groups, with all its columns: the one with the smallest doc_id.
 
-    Rows that share a doc_id stay or go together; rows without a doc_id go if they reach a document that has one.
+    Where none has a doc_id, or rows repeat one, the smallest fingerprint and then any row of it stays.
     """
-    groups = near_groups(docs, radius, words)
-    stay = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return without(docs, "__stay").join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+
+    prints = _prints(words)
+    rows = written(docs.select(id_key().alias("id"), prints(F.col("text").cast("string")).alias("fp")))
+    known = _grouped(written(rows.groupBy("fp").agg(F.min("id").alias("first"))), radius)
+    return _one_of_each(docs, rows, "fp", known, prints)
