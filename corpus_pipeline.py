@@ -14,7 +14,7 @@ from situ.llm.mixing import mix
 from situ.llm.packing import pack
 from situ.llm.quality import keep_good, train
 from situ.llm.queries import WEIGHTS
-from situ.llm.simhash import near_deduplicate
+from situ.llm.simhash import similar_deduplicate
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_deduplicate(docs)
+    """One document of each group that similarities of five-word shingles of 0.8 or more link."""
+    return similar_deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

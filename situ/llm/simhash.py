@@ -24,6 +24,11 @@ from .common import LOWER, components, id_key, id_or_null, without, written
 SHARD = 2048
 #: How often, at most: after three levels at most 19 bits of 64 are free.
 LEVELS = 3
+#: MinHash bands of a shingle set, and minima in each: by chance, 0.04 % of pairs of similarity 0.8 agree on no band.
+BANDS, BAND = 20, 5
+_FACTORS, _TERMS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND), np.uint64) | np.array([[1], [0]], np.uint64)
+#: Shingles of a chunk of candidates, each text counted as 256 more.
+BLOCK = 1 << 21
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -242,3 +247,126 @@ def near_deduplicate(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFr
     rows = written(docs.select(id_key().alias("id"), prints(F.col("text").cast("string")).alias("fp")))
     known = _grouped(written(rows.groupBy("fp").agg(F.min("id").alias("first"))), radius)
     return _one_of_each(docs, rows, "fp", known, prints)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted; words and shingles are those of ``fingerprint``."""
+    found = (text or "").encode().translate(LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[i : i + words]), 42) for i in range(max(1, len(found) - words + 1))] if found else [], np.uint64))
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """A 64-bit hash of a whole shingle set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """A set's SimHash fingerprint and the hashes of its MinHash bands; no bands if it is empty."""
+    if not len(hashes):
+        return 0, np.zeros(0, np.uint64)
+    total, least = np.zeros(64, np.int64), np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):  # bounded memory for very long texts
+        part = hashes[i : i + 4096]
+        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        least = np.minimum(least, (part[:, None] * _FACTORS + _TERMS).min(0))
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, BAND))]
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big"), np.array(bands, np.uint64)
+
+
+def similar_links(sets: list[tuple[int, np.ndarray]], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among (node, hashes) of at least the Jaccard similarity: a set meets groups, not all their members."""
+    groups: list[list[tuple[int, np.ndarray]]] = []
+    for node, own in sorted(sets, key=lambda x: (len(x[1]), x[0])):
+        met, apart = [], []
+        for group in groups:
+            hit = None
+            for other, theirs in reversed(group):
+                if len(theirs) < similarity * len(own):
+                    break  # groups are sorted by size: the others are smaller
+                both = len(np.intersect1d(own, theirs, assume_unique=True))
+                if both / max(1, len(own) + len(theirs) - both) >= similarity:
+                    hit = other
+                    break
+            if hit is None:
+                apart.append(group)
+            else:
+                yield node, hit
+                met.append(group)
+        # The new set is the largest, so it goes last.
+        one = met[0] if len(met) == 1 else sorted((x for g in met for x in g), key=lambda x: len(x[1]))
+        one.append((node, own))
+        groups = [*apart, one]
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (block, node, hashes) come sorted by block; a block may go on in the next batch."""
+        block, sets = None, []
+
+        def links():
+            if found := list(similar_links(sets, similarity)):
+                a, b = np.array(found, np.int64).T
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for b, node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != block:
+                    yield from links()
+                    block, sets = b, []
+                sets.append((node, own.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+        yield from links()
+
+    return run
+
+
+def similar_deduplicate(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of ``docs`` of each group that shingle sets of at least the Jaccard similarity link: the one with the smallest doc_id.
+
+    Candidates are sets whose fingerprints differ in at most two bits, by the BK-trees, or that agree on a MinHash band;
+    all sets that candidates connect are then compared by their exact similarity.  Texts without words are alike.  Where
+    none of a group has a doc_id, or rows repeat one, any row of one of its sets stays.
+    """
+
+    def longs(values) -> pa.Array:
+        return pa.array(np.array(values, np.uint64).view(np.int64))
+
+    def lists(arrays: list) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)], dtype=np.int32)), longs(np.concatenate([np.zeros(0, np.uint64), *arrays])))
+
+    @F.arrow_udf("struct<node: long, fp: long, size: long, bands: array<long>>")
+    def sketches(texts: pa.Array) -> pa.Array:
+        done = [(set_hash(s), len(s), *sketch(s)) for s in (shingle_set(t, words) for t in texts.to_pylist())]
+        columns = [longs([d[0] for d in done]), longs([d[2] for d in done]), pa.array([d[1] for d in done], pa.int64()), lists([d[3] for d in done])]
+        return pa.StructArray.from_arrays(columns, ["node", "fp", "size", "bands"])
+
+    @F.arrow_udf("long")
+    def nodes(texts: pa.Array) -> pa.Array:
+        return longs([set_hash(shingle_set(t, words)) for t in texts.to_pylist()])
+
+    @F.arrow_udf("array<long>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        return lists([shingle_set(t, words) for t in texts.to_pylist()])
+
+    rows = written(docs.select(id_key().alias("id"), sketches(F.col("text").cast("string")).alias("s")).select("id", "s.*"))
+    firsts = written(rows.groupBy("node").agg(F.min("id").alias("first"), F.max("fp").alias("fp"), F.max("size").alias("size")))
+    # Sets that share a band or a fingerprint are linked to the smallest of them.
+    buckets = rows.select("node", F.explode("bands").alias("bucket")).distinct()
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    by_band = buckets.join(least, "bucket").select("node", "least")
+    prints = written(firsts.groupBy("fp").agg(F.min("node").alias("least")))
+    by_print = firsts.join(prints, "fp").select("node", "least")
+    at = lambda side: prints.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node"))
+    near = _print_links(prints, 2).join(at("a"), "a").join(at("b"), "b").select("a_node", "b_node")
+    edges = by_band.union(by_print).where("node <> least").union(near).toDF("a", "b").distinct()
+    found = written(components(edges).join(firsts, "node").select("node", "component", "first", "size"))
+    # A large group is cut into chunks, and each two of them meet in a block.
+    parts = found.groupBy("component").agg(F.ceil(F.sum(F.col("size") + 256) / BLOCK).cast("long").alias("parts"))
+    texts = docs.select(id_key().alias("first"), F.col("text").cast("string").alias("text")).join(found.select("first").distinct(), "first", "left_semi")
+    sets = written(texts.select(nodes("text").alias("node"), hashes("text").alias("hashes")).join(found, "node", "left_semi").dropDuplicates(["node"]))
+    chunk = F.pmod(F.col("node"), F.col("parts"))
+    block = lambda j: F.concat_ws("/", F.col("component").cast("string"), F.least(chunk, j).cast("string"), F.greatest(chunk, j).cast("string"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), block)
+    blocks = found.select("node", "component").join(parts, "component").select("node", F.explode(every).alias("block")).join(sets, "node").select("block", "node", "hashes")
+    links = written(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_verified(similarity), "a long, b long"))
+    return _one_of_each(docs, rows, "node", _kept(firsts.select("node", "first"), "node", links), nodes)
