@@ -186,6 +186,10 @@ _NUMBER = re.compile(
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _MAKERS = {"card": _card, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
 _ANY_DIGIT = re.compile(r"\d")
+_GROUP = re.compile(r"\+?\(?\d+")
+_RUN = re.compile(r"[+(]*\d(?:[ ().+/\-]*\d)*")
+#: Characters of a number, at most: 19 digits with separators.
+MOST = 40
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
@@ -198,12 +202,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         counts[kind] = counts.get(kind, 0) + 1
         return made
 
-    def number(m: re.Match) -> str:
+    def number(m: re.Match) -> str | None:
         kind = m.lastgroup or next(k for k in _MAKERS if m[k])
         made = _MAKERS[kind](m[0], key)
         if made is None and kind in ("ssn", "card"):
             kind, made = "phone", _phone(m[0], key)
-        return swap(kind, made, m[0])
+        return None if made is None else swap(kind, made, m[0])
 
     if "@" in text:
         text = _EMAIL.sub(lambda m: swap("email", _email(m[0], key), m[0]), text)
@@ -218,15 +222,37 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return text, counts
 
 
+def _replaced(text: str, number, start: int = 0, stop: int | None = None) -> str:
+    """Numbers of a part of the text replaced; where one is not valid, the longest valid run of digit groups that starts in it."""
+    out, at, stop = [], start, len(text) if stop is None else stop
+    while m := _NUMBER.search(text, start, stop):
+        (a, b), made = m.span(), number(m)
+        if made is None:
+            starts = [g.start() for g in _GROUP.finditer(text, *m.span())]
+            last = _RUN.match(text, m.start(), min(stop, m.end() + MOST)).end()
+            ends = [last, *(i for i in range(m.start(), last) if text[i] == " ")]
+            for a, b in sorted(((x, y) for x in starts for y in ends if 6 < y - x <= MOST and (x, y) != m.span()), key=lambda s: (s[0] - s[1], s[0])):
+                if (inner := _NUMBER.fullmatch(text, a, b)) and (made := number(inner)) is not None:
+                    break
+        if made is not None:
+            out += [text[at : m.start()], _replaced(text, number, m.start(), a) if a > m.start() else "", made]
+            at = start = b
+        elif following := _GROUP.search(text, _GROUP.search(text, m.start()).end(), stop):
+            start = following.start()  # a value may start here and end beyond this match
+        else:
+            break
+    return "".join(out) + text[at:stop]
+
+
 def _sub_numbers(text: str, number) -> str:
     """Numbers outside mail addresses, which have their pseudonyms already."""
     if "@" not in text:
-        return _NUMBER.sub(number, text)
+        return _replaced(text, number)
     out, at = [], 0
     for m in _EMAIL.finditer(text):
-        out += [_NUMBER.sub(number, text[at : m.start()]), m[0]]
+        out += [_replaced(text[at : m.start()], number), m[0]]
         at = m.end()
-    return "".join(out) + _NUMBER.sub(number, text[at:])
+    return "".join(out) + _replaced(text[at:], number)
 
 
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:

@@ -69,3 +69,17 @@ def test_similar_links_find_what_brute_force_finds():
 
     every = [(i, j) for i, a in sets for j, b in sets if i < j and len({*a.tolist()} & {*b.tolist()}) / len({*a.tolist()} | {*b.tolist()}) >= 0.8]
     assert groups(similar_links(sets, 0.8)) == groups(every) and 4 < len(groups(every)) < 80
+
+
+def test_pseudonyms_of_values_beside_other_numbers():
+    from situ.llm.pii import pseudonymise
+
+    for value in ("4111 1111 1111 1111", "212-555-0100", "123-45-6789"):
+        alone = pseudonymise(value, b"k")[0]
+        assert alone != value
+        for text in ("room 24 {}", "item 55 {}", "{} 12", "7 {} 24", "{} {}", "12 37 {}, 56"):
+            got, counts = pseudonymise(text.replace("{}", value), b"k")
+            assert got == text.replace("{}", alone) and sum(counts.values()) == text.count("{}"), (text, value, got)
+    assert pseudonymise("order 12 4111 1111 1111 1111", b"k")[0] == "order 12 " + pseudonymise("4111 1111 1111 1111", b"k")[0]
+    for s in ("order 12 4111 1111 1111 1112", "55 666-45-6789", "version 1.2.3", "12 34 56"):
+        assert pseudonymise(s, b"k") == (s, {})
