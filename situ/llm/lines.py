@@ -1,48 +1,28 @@
 """Removal of lines that several documents share.
 
-Lines are exploded as 128-bit hashes of their keys, an aggregation by hash finds those in several documents, and what
-each document loses comes back to it as a set of hashes, by which its text is put together again in order.
+Lines are exploded with their places, as 128-bit hashes of their keys.  Documents are counted once for each hash; a
+document's lines whose hash is in enough documents, of which another is the first, come back to it as places, and its
+text is put together again from the places that are left, in order.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, id_key, without, written
-
-_WHITE = WHITE.encode()
+from .common import WHITE, id_key, join_hot, without, written
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def line_hash(line: bytes, least: int) -> bytes | None:
-    """The hash of a lower-cased line's key, or None if the key has fewer than ``least`` code points."""
-    key = line.strip(_WHITE)
-    if len(key) < least or len(key) < 4 * least and len(key.decode(errors="replace")) < least:
-        return None
-    return xxhash.xxh3_128_digest(key)
 
+def line_key(line: Column) -> Column:
+    """A line without ASCII white space at both ends and with A-Z in lower case."""
+    return F.translate(F.btrim(line, F.lit(WHITE)), _UPPER, _LOWER)
 
-def _exploded(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids, hashes, owner = part.column(0).to_numpy(), [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    found = {h for line in text.encode().translate(LOWER).split(b"\n") if (h := line_hash(line, least))}
-                    hashes += found
-                    owner += [i] * len(found)
-                two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(ids[owner] if owner else np.empty(0, np.int64)), pa.array(two[:, 0]), pa.array(two[:, 1])], ["id", "h1", "h2"])
 
-    return run
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text that do not follow from each other."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
 def line_deduplicate(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
@@ -52,35 +32,27 @@ def line_deduplicate(docs: DataFrame, least_chars: int = 10, least_docs: int = 2
     ``least_chars`` code points in at least ``least_docs`` documents loses all its lines but those in the document with
     the smallest doc_id.  A null text is one empty line.  Rows with the same doc_id are one document; rows without one
     are one document too, whose id is the largest.  Columns n_lines and n_dropped of the input are replaced; others
-    stay.  Documents are told apart by exact counts; for two, the smallest and the largest doc_id of a key suffice.
+    stay.  Lines of a document are known by its id and the hashes of its whole text, so rows that share an id, or have
+    none, are never gathered; a line that very many documents have is joined by broadcast.
     """
-    lines = written(docs.select(id_key().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_exploded(least_chars), "id long, h1 long, h2 long"))
-    found = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    if least_docs <= 2:
-        found = found.where("first < last" if least_docs == 2 else "true")
-    else:
-        found = lines.distinct().groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    shared = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    lost = lines.join(shared, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("id") > F.col("first")))
-    by_doc = lost.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-
-    @F.arrow_udf("struct<text string, n_lines long, n_dropped long>")
-    def kept(texts: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
-        out, n_lines, n_dropped = [], [], []
-        for text, a, b in zip(texts.to_pylist(), h1, h2):
-            text = text or ""
-            lines, gone = text.split("\n"), 0
-            if a.is_valid and len(a.values):
-                two = np.column_stack((a.values.to_numpy(), b.values.to_numpy()))
-                lost = {row.tobytes() for row in two}
-                stay = [x for x in lines if line_hash(x.encode().translate(LOWER), least_chars) not in lost]
-                gone, text = len(lines) - len(stay), "\n".join(stay)
-            out.append(text)
-            n_lines.append(len(lines))
-            n_dropped.append(gone)
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
-
-    rows = without(docs, "n_lines", "n_dropped", "__id", "__lost").withColumn("__key", id_key())
-    done = rows.join(by_doc, F.col("__key") == F.col("__id"), "left").withColumn("__new", kept(F.col("text").cast("string"), F.col("__lost.h1"), F.col("__lost.h2")))
-    names = [c for c in rows.columns if c != "__key"]
-    return done.select(*[F.col("__new.text").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names], F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t1, t2 = _hashes(text)
+    places = docs.select(id_key().alias("id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    keys = places.select("id", "t1", "t2", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
+    h1, h2 = _hashes(F.col("key"))
+    lines = written(keys.select("id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2")))
+    by_doc = lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("n"))
+    shared = by_doc.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n_docs"), F.sum("n").alias("n_rows"))
+    shared = written(shared.where(F.col("n_docs") >= least_docs).select("h1", "h2", "first", "n_rows"))
+    lost = join_hot(lines, shared, ["h1", "h2"], "n_rows").where("id > first")
+    by_row = lost.groupBy(F.col("id").alias("__id"), F.col("t1").alias("__h1"), F.col("t2").alias("__h2")).agg(F.collect_set("pos").alias("__lost"))
+
+    rows = without(docs, "n_lines", "n_dropped", "__id", "__h1", "__h2", "__lost", "__key", "__t1", "__t2", "__lines")
+    keyed = rows.withColumns({"__key": id_key(), "__t1": t1, "__t2": t2})
+    done = keyed.join(by_row, (F.col("__key") == F.col("__id")) & (F.col("__t1") == F.col("__h1")) & (F.col("__t2") == F.col("__h2")), "left")
+    done = done.withColumn("__lines", F.split(text, "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    kept = F.when(F.col("__lost").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    dropped = F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long")
+    names = [F.col(f"`{c.replace('`', '``')}`") if c.lower() != "text" else kept.alias(c) for c in rows.columns]
+    return done.select(*names, F.size("__lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -150,10 +150,30 @@ def test_line_deduplicate(docs, rows, empty, least_docs):
         kept = [x for x in lines if len(keyed(x)) < 10 or len(where[keyed(x)]) < least_docs or min(where[keyed(x)]) == key(i)]
         want.append((str(i), "\n".join(kept), len(lines), len(lines) - len(kept)))
     out = line_deduplicate(docs.withColumn("n_lines", docs.lang), 10, least_docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in out.collect()) == sorted(want)
     assert line_deduplicate(empty).count() == 0
 
 
+def test_lines_of_rows_without_ids_and_a_line_that_all_have(spark):
+    from situ.llm.lines import line_deduplicate
+
+    shared = "A line that every document has"
+    rows = [(i if i % 3 else None, f"{shared}\nown line number {i % 50}\n\n{shared.lower()} \n", "x") for i in range(3000)]
+    first = {}
+    for i, t, _ in rows:
+        for line in t.split("\n"):
+            first.setdefault(line.strip().lower(), set()).add(key(i))
+    want = []
+    for i, t, _ in rows:
+        lines = t.split("\n")
+        keyed = [x.strip().lower() for x in lines]
+        kept = [x for x, k in zip(lines, keyed) if len(k) < 10 or len(first[k]) < 2 or min(first[k]) == key(i)]
+        want.append((str(i), "\n".join(kept), 5, 5 - len(kept)))
+    out = line_deduplicate(spark.createDataFrame(rows, "doc_id long, text string, __lost string").repartition(5)).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in out) == sorted(want)
+
+
 def test_media_round_trip(docs, rows, empty):
     from situ.llm.media import media_digests, padded, probe_media, read_payload, store_texts, write_avi
 
@@ -290,40 +310,93 @@ def test_feistel_is_a_permutation():
     assert len({_date(d.isoformat(), b"k") for d in _days("ymd")[:5000]}) == 5000
 
 
-def test_exact_groups_and_index(docs, rows, empty):
-    from situ.llm.exact import DigestIndex, exact_deduplicate, exact_groups
+def flat(t):
+    return "".join(c for c in t or "" if c not in WHITE)
 
-    flat = lambda t: "".join(c for c in t or "" if c not in WHITE)
-    groups = {}
+
+def brute_exact(rows, known=None):
+    """Result rows as text, one kept row of those that repeat; ``known`` has the ids of texts that came before."""
+    groups, seen, out = {}, set(), []
     for i, t, *_ in rows:
         groups.setdefault(flat(t), []).append((-len(t or ""), key(i)))
-    want = []
     for i, t, *_ in rows:
-        g = groups[flat(t)]
-        n, k = min(g)
-        want.append(str((i, None if k == (1 << 63) - 1 else k, len(g), (n, k) == (-len(t or ""), key(i)), hashlib.sha256(flat(t).encode()).hexdigest())))
-    index = DigestIndex(docs.sparkSession, buckets=4)
-    got = exact_groups(docs.withColumn("digest", docs.lang), index)
-    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
-    assert index.rows().count() == len(groups)
-    assert exact_groups(docs, index).where("kept").count() == 0
-    assert exact_groups(empty, index).count() == 0 and index.rows().count() == len(groups)
-    kept = exact_deduplicate(docs)
-    assert kept.columns == docs.columns and {flat(r.text) for r in kept.collect()} == set(groups)
-    assert kept.count() == len(groups) + 2 * (min(groups["one"])[1] == 3)
-
-
-def test_exact_anti_join_is_sort_merge_without_shuffle_of_the_index(docs):
+        f, n = flat(t), -len(t or "")
+        best = min(groups[f])
+        kept = f not in (known or {}) and (n, key(i)) == best and f not in seen
+        if kept:
+            seen.add(f)
+        k = (known or {}).get(f, best[1])
+        out.append(str((i, None if k == (1 << 63) - 1 else k, len(groups[f]), kept, hashlib.sha256(f.encode()).hexdigest())))
+    return sorted(out)
+
+
+def test_exact_groups_and_index(spark, docs, rows, empty, tmp_path):
+    from situ.llm.exact import DigestIndex, exact_deduplicate, exact_groups
+
+    got = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    texts = {flat(r[1]) for r in rows}
+    index = DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    assert not index.exists() and index.rows().count() == 0
+    assert got(exact_groups(docs.withColumn("digest", docs.lang), index, "one")) == brute_exact(rows)
+    assert index.exists() and index.rows().count() == len(texts)
+    # The same batch again, as after a failure, gives the same result and adds nothing.
+    assert got(exact_groups(docs.repartition(2), index, "one")) == brute_exact(rows) and index.rows().count() == len(texts)
+    # What another addition wrote before it failed is not seen.
+    index.rows().selectExpr("concat('0', digest) digest", "id", "n_chars", "'bad' batch", "'lost' addition").repartition(4, "digest").write.mode("append").format("parquet").bucketBy(4, "digest").sortBy("digest").option("path", f"{index.path}/rows").saveAsTable(index.table)
+    assert index.rows().count() == len(texts)
+    # Another session, whose catalog knows nothing, goes on with the folder.
+    known = {flat(r[1]): r[0] for r in rows}
+    known = {f: min((-len(r[1] or ""), key(r[0])) for r in rows if flat(r[1]) == f)[1] for f in known}
+    spark.sql(f"DROP TABLE {index.table}")
+    later = DigestIndex(spark.newSession(), f"file://{tmp_path}/index", buckets=99)
+    more = [(1000 + i, t, "en", "s", 0) for i, t in enumerate([*texts, "new text", "new  text", "NEW", "one"])] + [(None, "new text", "en", "s", 0)] * 3
+    second = spark.createDataFrame(more, docs.schema).repartition(3)
+    assert got(exact_groups(second, later, "two")) == brute_exact(more, known)
+    assert later.rows().count() == len(texts) + 2 and later.buckets == 4
+    assert exact_groups(docs, later).where("kept").count() == 0
+    assert exact_groups(empty, later).count() == 0 and exact_groups(empty).count() == 0
+
+
+def test_exact_deduplicate_keeps_one_row_of_each_text(docs, rows, empty):
+    from situ.llm.exact import exact_deduplicate
+
+    kept = exact_deduplicate(docs.withColumn("n", docs.lang).withColumn("__SHA", docs.lang))
+    assert kept.columns == [*docs.columns, "n"]
+    best = {}
+    for i, t, *_ in rows:
+        best[flat(t)] = min(best.get(flat(t), (1, 0)), (-len(t or ""), key(i)))
+    assert sorted((-len(r.text or ""), key(r.doc_id)) for r in kept.collect()) == sorted(best.values())
+    assert exact_deduplicate(docs.where("doc_id is null").union(docs.where("doc_id is null"))).count() == 1
+    assert exact_deduplicate(empty).count() == 0
+
+
+def test_exact_anti_join_is_sort_merge_without_shuffle_of_the_index(spark, docs):
     from situ.llm.exact import DigestIndex, exact_groups
 
-    spark = docs.sparkSession
     index = DigestIndex(spark, buckets=4)
     exact_groups(docs, index).count()
-    new = spark.createDataFrame([("x", 1, 1)], "digest string, id long, n_chars long")
+    new = spark.createDataFrame([("x", 1, 1)], "digest string, id long, n_chars long").repartition(4, "digest")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = new.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount" in plan
+
+
+def test_hot_keys_are_broadcast(spark):
+    from situ.llm.common import join_hot
+
+    rows = spark.range(6000).selectExpr("IF(id < 4000, 0, id) AS k", "id")
+    known = rows.groupBy("k").count()
+    joined = join_hot(rows, known, ["k"], "count")
+    assert "Union" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(known, "k").collect()))
+
+
+def test_components_of_a_long_chain(spark):
+    from situ.llm.common import components
+
+    chain = spark.range(1 << 12).selectExpr("(id * 2654435761) % 4294967296 AS a", "((id + 1) * 2654435761) % 4294967296 AS b")
+    assert [tuple(r) for r in components(chain).groupBy("component").count().collect()] == [(0, (1 << 12) + 1)]
 
 
 def test_quality(spark, docs, empty):
@@ -451,6 +524,27 @@ def test_wavelet_matrix(size, top):
     assert m.count(top + 5) == 0 and isinstance(m, WaveletMatrix)
 
 
+def brute_similar(rows, least=0.8):
+    """The smallest id, as text, of each group that similarities of five-word shingles link."""
+    sets = []
+    for i, t, *_ in rows:
+        words = [w for w in _split((t or "").translate(LOWER)) if w]
+        sets.append((i, {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()))
+    top = {i: i for i, _ in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a == b or a | b and len(a & b) / len(a | b) >= least:
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    return {str(find(i)) for i, _ in sets}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from situ.llm.quality import add_score, train
@@ -470,7 +564,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         k = "".join(c for c in r[1] or "" if c not in WHITE)
         best[k] = min(best.get(k, (1, 0)), (-len(r[1] or ""), r[0]))
     left = [r for r in left if r[0] in {b[1] for b in best.values()}]
-    stay = {c for *_, c in brute_components([(r[0], fingerprint(r[1])) for r in left])}
+    stay = brute_similar(left)
     assert {str(p.doc_id) for p in got} == stay and not any(p.doc_id >= 100 for p in got)
     total = sum(len(encoded(r[1])) for r in left if str(r[0]) in stay)
     assert sum(p.length for p in got) == total and len({p.sequence_id for p in got}) == math.ceil(total / 1024)
