@@ -8,7 +8,7 @@ of the sparse dot product of values and weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for pattern, sign in (("\\p{Lu}+", "X"), ("[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}\\p{M}]+", "x"), ("\\p{N}+", "9")):
         shape = pc.replace_substring_regex(shape, pattern, sign)
     kinds = shape.dictionary_encode()
-    kind_hash = np.array([xxhash.xxh64_intdigest(w[:24], 2) for w in kinds.dictionary.to_pylist()], np.uint64)
+    kind_hash = np.array([xxhash.xxh64_intdigest(w, 2) for w in kinds.dictionary.to_pylist()], np.uint64)
     word, kind = hashed[index], kind_hash[kinds.indices.to_numpy(zero_copy_only=False)][index]
     first = np.zeros(len(index), bool)
     starts = np.cumsum(counts) - counts
@@ -94,37 +94,46 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the bias last) from (places, values, label) of texts, by follow-the-regularised-leader-proximal."""
+def fit(examples: Iterable[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights (the bias last) from (places, values, label) of texts, by follow-the-regularised-leader-proximal; the
+    examples are used once each, in their order."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
 
     def weight(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    for _ in range(epochs):
-        for places, values, label in examples:
-            w = weight(places)
-            p = 1 / (1 + np.exp(-np.clip(float(w @ values), -30, 30)))
-            g = (p - label) * values
-            s = (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / ALPHA
-            z[places] += g - s * w
-            n[places] += g * g
+    for places, values, label in examples:
+        w = weight(places)
+        p = 1 / (1 + np.exp(-np.clip(float(w @ values), -30, 30)))
+        g = (p - label) * values
+        s = (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / ALPHA
+        z[places] += g - s * w
+        n[places] += g * g
     return weight(np.arange(SIZE + 1)).astype(np.float32)
 
 
-def _fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    examples = []
+def _examples(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct places and their shares of its words, with the bias; texts without words teach nothing."""
     for whole in parts:
         for batch in bounded(whole, "text", BATCH):
             places, counts = features(batch.column("text"))
             ends = np.cumsum(counts)
-            for a, b, label in zip((ends - counts).tolist(), ends.tolist(), batch.column("label").to_pylist()):
+            for a, b, i, label in zip((ends - counts).tolist(), ends.tolist(), batch.column("id").to_pylist(), batch.column("label").to_pylist()):
                 if b > a:
                     at, times = np.unique(places[:, a:b], return_counts=True)
-                    examples.append((np.append(at, SIZE).astype(np.int32), np.append(times / (b - a), 1).astype(np.float32), label))
-    weights = fit(examples).tobytes()
-    examples.clear()
+                    at, values = np.append(at, SIZE).astype("<i4"), np.append(times / (b - a), 1).astype("<f4")
+                    yield pa.record_batch([pa.array([i], pa.int64()), pa.array([label], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["id", "label", "places", "shares"])
+    release()
+
+
+def _fitted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def examples():
+        for batch in parts:
+            for label, places, values in zip(batch.column("label").to_pylist(), batch.column("places"), batch.column("shares")):
+                yield np.frombuffer(places.as_buffer(), "<i4"), np.frombuffer(values.as_buffer(), "<f4"), label
+
+    weights = fit(examples()).tobytes()
     release()
     yield pa.record_batch([pa.array([weights], pa.binary())], ["weights"])
 
@@ -139,13 +148,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
     Labels that are null, and labels and documents without ids, are not used; of several labels for an id the largest
     counts, and of several documents with an id the text that sorts first.  With nothing to learn from, all weights are
-    zero, and every score is 0.5.  The fit runs in one task; what it holds is bounded by most_rows.
+    zero, and every score is 0.5.  Features are made where the texts lie.  One task goes through them EPOCHS times in
+    the order of the ids' hashes and holds the weights only; a text's features are at most SIZE, however long it is.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     some = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(most_rows))  # bounded by most_rows
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(some, "id")
-    texts = written(texts.groupBy("id", "label").agg(F.min("text").alias("text")))
-    row = texts.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(_fitted, "weights binary").first()
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
+    examples = written(texts.mapInArrow(_examples, "id long, label int, places binary, shares binary"))
+    epochs = examples.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    row = epochs.repartition(1).sortWithinPartitions("epoch", F.xxhash64("id"), "id").select("label", "places", "shares").mapInArrow(_fitted, "weights binary").first()
     return np.frombuffer(row[0], np.float32) if row else np.zeros(SIZE + 1, np.float32)
 
 

@@ -1,8 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-A page's URL gives its candidates: each of its host's suffixes with each prefix of its path that is as long as some
-listed path.  Candidates that the filter passes go on to a hash join with the list, which removes false positives.
-DataFrame functions only.
+A page's URL gives its candidates: for each number of labels of a listed host with each length of a path listed with it,
+that many last labels of its host with that long a prefix of its path.  The filter is a table of blocks, each a word of 64
+bits; a candidate's block is found by its number and tested for the candidate's bits.  Candidates that the filter passes go
+on to a hash join with the list, which removes false positives.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from .common import written
 BITS = 5
 #: Entries for which a block is sized.
 ENTRIES_A_BLOCK = 4
-#: Largest filter that is broadcast, in blocks of 8 bytes; candidates are shuffled to larger ones.
-MOST_BLOCKS = 1 << 22
+#: Largest filter that is broadcast, in blocks of 8 bytes with their numbers; candidates are shuffled to larger ones.
+MOST_BLOCKS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,31 +64,27 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     one without ://, has an empty host and path.  Pages that repeat give rows that repeat.  With no rules all pages get
     the default.  Other columns are ignored.
     """
-    spark = pages.sparkSession
+    labels = lambda c: F.size(F.split(c, "\\.", -1))
     listed = written(
-        rules.select(F.concat(F.col("host"), F.lit("\n"), F.col("path")).alias("key"), "rule", "action", F.char_length("path").alias("size")).groupBy("key").agg(F.max(F.struct("rule", "action", "size")).alias("r")).select("key", "r.*")
+        rules.select(F.concat(F.col("host"), F.lit("\n"), F.col("path")).alias("key"), "rule", "action", labels(F.col("host")).alias("depth"), F.char_length("path").alias("size"))
+        .groupBy("key")
+        .agg(F.max(F.struct("rule", "action", "depth", "size")).alias("r"))
+        .select("key", "r.*")
     )
-    stats = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # sizes: at most the length of a URL
+    # Shapes: numbers of labels and path lengths that are listed together; as few as names and addresses are short.
+    stats = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.struct("depth", "size"))).alias("shapes")).first()
     blocks = 1
     while blocks * ENTRIES_A_BLOCK < stats["n"]:
         blocks *= 2
     bloom = listed.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
     judged = pages.select("page_id", url_host(F.col("url").cast("string")).alias("host"), url_path(F.col("url").cast("string")).alias("path"))
-    names = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(s) for s in stats["sizes"]]).cast("array<int>"), lambda s: s <= F.char_length("path")), lambda s: F.substring(F.col("path"), F.lit(1), s))
-    candidates = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
-    urls = judged.select("host", "path").distinct().withColumn("candidates", candidates)
-    if blocks <= MOST_BLOCKS:
-        # The filter is one row with an array of all blocks; its size is bounded by MOST_BLOCKS.
-        whole = bloom.agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("found")).select(
-            F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda b: F.coalesce(F.try_element_at(F.col("found"), b), F.lit(0).cast("long"))).alias("bloom")
-        )
-        passed = F.filter("candidates", lambda c: F.element_at("bloom", (_block(c, blocks) + 1).cast("int")).bitwiseAND(_mask(c)) == _mask(c))
-        maybe = urls.crossJoin(F.broadcast(whole)).select("host", "path", F.explode(passed).alias("key"))
-    else:
-        each = urls.select("host", "path", F.explode("candidates").alias("key")).withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))})
-        maybe = each.join(bloom, "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "key")
+    shapes = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(s).alias("size")) for d, s in stats["shapes"]]).cast("array<struct<depth:int,size:int>>")
+    fit = F.filter(shapes, lambda x: (x["depth"] <= F.size("names")) & (x["size"] <= F.char_length("path")))
+    candidate = lambda x: F.concat(F.array_join(F.slice("names", F.size("names") - x["depth"] + 1, x["depth"]), "."), F.lit("\n"), F.substring(F.col("path"), F.lit(1), x["size"]))
+    urls = judged.select("host", "path").distinct().withColumn("names", F.split("host", "\\.", -1))
+    each = urls.select("host", "path", F.explode(F.transform(fit, candidate)).alias("key")).withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))})
+    bloom = F.broadcast(bloom) if blocks <= MOST_BLOCKS else bloom
+    maybe = each.join(bloom, "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "key")
     hits = maybe.join(listed, "key").groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), F.col("rule").alias("rule"), F.col("action").alias("action"))).alias("hit"))
     found = hits.select(F.col("host").alias("h"), F.col("path").alias("p"), "hit.rule", "hit.action")
     out = judged.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")

@@ -221,36 +221,64 @@ def test_media_shots_and_baseline_frames():
     assert (media.decode_frame(b"\xff\xd8" + head + data + b"\xff\xd9") == samples).all()
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 2}, {"": 5}])
-def test_mixing(docs, rows, empty, weights):
-    from situ.llm.mixing import mix, schedule
-
-    got = schedule(docs, weights, 4).collect()
-    pairs = {(r[0], r[3] or "") for r in rows}
-    assert {(r.doc_id, r.source) for r in got} == pairs and len(got) == len(pairs)
-    assert sorted(r.position for r in got) == list(range(len(pairs)))
-    slots = {}
-    for r in got:
-        assert r.release <= r.slot < r.deadline
-        slots.setdefault(r.slot, set()).add((r.source, r.block_id))
-    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
-    assert schedule(empty).count() == 0
-    out = mix(docs, weights, 4)
-    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
-
-
-def test_pfair_deviation_is_below_one_block():
-    from situ.llm.mixing import period, phases
-
-    weights = {"a": 5, "b": 3, "c": 7, "d": 1}
-    order, done = period(weights), dict.fromkeys(weights, 0)
-    for slot, (s, i) in enumerate(order, 1):
-        assert i == done[s]
-        done[s] += 1
-        assert all(abs(done[x] - slot * w / 16) < 1 for x, w in weights.items())
-    assert done == weights
-    plan = phases({"a": 11, "b": 2, "c": 9}, weights)
-    assert {s: max(p["to"].get(s, 0) for p in plan) for s in "abc"} == {"a": 11, "b": 2, "c": 9}
+def brute_mixture(counts, weights, block):
+    """(source, block, slot, release, deadline) of every block, slot by slot: earliest deadline first among those released."""
+    from fractions import Fraction
+
+    w = {s: Fraction(str(weights.get(s, 1))) for s in counts}
+    total = sum(w.values())
+    left = {s: -(-c // block) for s, c in counts.items()}
+    done, out, slot = dict.fromkeys(counts, 0), [], 0
+    while any(done[s] < left[s] for s in counts):
+        ready = [(math.ceil((done[s] + 1) * total / w[s]), -w[s], s) for s in counts if math.floor(done[s] * total / w[s]) <= slot]
+        if ready:
+            deadline, _, s = min(ready)
+            assert slot < deadline and all(abs(done[x] + (x == s) - (slot + 1) * w[x] / total) < 1 for x in counts)
+            if done[s] < left[s]:
+                out.append((s, done[s], slot, math.floor(done[s] * total / w[s]), deadline))
+            done[s] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("most_runs", [1 << 20, 3])
+@pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 2}, {"": 5}, {"s0": 0.37, "s2": "0.5"}])
+def test_mixing(docs, rows, empty, weights, most_runs, monkeypatch):
+    from situ.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_RUNS", most_runs)
+    pairs = sorted({(r[3] or "", key(r[0])) for r in rows})
+    counts = {s: sum(x == s for x, _ in pairs) for s, _ in pairs}
+    order = []
+    for s, b, slot, release, deadline in brute_mixture(counts, weights or {}, 4):
+        for i in [i for x, i in pairs if x == s][4 * b : 4 * b + 4]:
+            order.append((len(order), s, i, b, slot, release, deadline))
+    got = mixing.schedule(docs, weights, 4).collect()
+    assert sorted((r.position, r.source, key(r.doc_id), r.block_id, r.slot, r.release, r.deadline) for r in got) == order
+    assert mixing.schedule(empty).count() == 0
+    out = mixing.mix(docs, weights, 4)
+    place = {(s, i): n for n, s, i, *_ in order}
+    mixed = [place[r.source or "", key(r.doc_id)] for r in out.collect()]
+    assert out.columns == docs.columns and mixed == sorted(place[r[3] or "", key(r[0])] for r in rows)
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, {"s0": 0})
+
+
+def test_periods_of_many_sources_and_large_weights():
+    from situ.llm.mixing import Shares
+
+    many = Shares([f"s{i:05}" for i in range(10_000)], {"s00007": 2, "s00009": 2})
+    assert many.total == 10_002 and sum(n for _, _, n in many.runs()) == 10_002 and len(list(many.runs())) < 10
+    assert Shares(["a", "b"], {"a": 1_500_000, "b": 4_500_000}).total == 4
+    fine = Shares(list("abc"), {"a": 1_000_003, "b": 7, "c": 19})
+    counts, order = dict.fromkeys("abc", 0), {}
+    for first, start, n in fine.runs(3000):
+        order.update(zip(range(start, start + n), range(first, first + n)))
+    for slot in range(3000):
+        s = next(s for s, (w, at, step) in fine.jobs.items() if at <= order[slot] < at + w)
+        assert order[slot] == fine.jobs[s][1] + counts[s]
+        counts[s] += 1
+        assert all(abs(counts[x] - (slot + 1) * w / fine.total) < 1 for x, (w, _, _) in fine.jobs.items())
 
 
 def test_url_verdicts(spark):
@@ -275,12 +303,26 @@ def test_url_verdicts(spark):
         got = urls.url_verdicts(pages, urls.rule_table(spark, RULES)).collect()
         urls.MOST_BLOCKS = old
         assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(map(str, ((i, *brute(u)) for i, u in [*enumerate(found), (1, found[1])])))
+    long = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "net/"), (2, "http://" + "a." * 100_000 + "/"), (3, "http://x.net/" + "p" * 1_000_000)], "page_id long, url string")
+    assert [r.verdict for r in urls.url_verdicts(long, urls.rule_table(spark, RULES)).orderBy("page_id").collect()] == ["block", "allow", "block"]
     many = urls.rule_table(spark, [(f"h{i}.org/", "block") for i in range(3000)])
     got = urls.url_verdicts(spark.createDataFrame([(i, f"http://www.h{i}.org/a") for i in range(0, 6000, 50)], "page_id long, url string"), many).collect()
     assert all((r.verdict == "block") == (r.page_id < 3000) for r in got) and len(got) == 120
     assert urls.url_verdicts(pages, many.where("false")).where("verdict = 'allow' and rule is null").count() == pages.count()
 
 
+def test_url_verdicts_with_a_million_rules(spark):
+    import time
+
+    from situ.llm import urls
+
+    began = time.time()
+    rules = spark.range(1_000_000).selectExpr("concat('h', id, '.org/', IF(id % 2 = 0, 'a/', '')) AS rule", "concat('h', id, '.org') AS host", "IF(id % 2 = 0, '/a/', '/') AS path", "'block' AS action")
+    pages = spark.range(2_000_000, 0, -1000).selectExpr("id AS page_id", "concat('http://www.h', id, '.org/a/x') AS url")
+    got = urls.url_verdicts(pages, rules).groupBy("verdict").count().collect()
+    assert dict(map(tuple, got)) == {"block": 999, "allow": 1001} and time.time() - began < 60
+
+
 def test_pseudonyms(docs, rows, empty):
     from situ.llm.pii import KINDS, luhn, pseudonymise, pseudonyms
 
@@ -419,6 +461,74 @@ def test_quality(spark, docs, empty):
     assert set(train(empty, labels).tolist()) == {0.0}
 
 
+def brute_features(text):
+    """Counts of feature places of a text, word by word."""
+    import unicodedata
+
+    mask = (1 << 64) - 1
+    m = 0x9E3779B97F4A7C15
+
+    def mixed(a, b):
+        x = (a ^ ((b * m + (a << 6)) & mask)) * m & mask
+        return x ^ x >> 29
+
+    def shape(w):
+        kinds = ["X" if unicodedata.category(c) == "Lu" else "x" if unicodedata.category(c)[0] in "LM" else "9" if unicodedata.category(c)[0] == "N" else c for c in w]
+        return "".join(k for i, k in enumerate(kinds) if not (i and k in "Xx9" and kinds[i - 1] == k and unicodedata.category(w[i])[0] in "LMN" and unicodedata.category(w[i - 1])[0] in "LMN"))
+
+    words = [w for w in _split(text or "") if w]
+    begin, out = 0x5E5E5E5E, {}
+    word = [xxhash.xxh64_intdigest(w.translate(LOWER), 1) for w in words]
+    kind = [0x3D3D3D3D if i and word[i] == word[i - 1] else xxhash.xxh64_intdigest(shape(w), 2) for i, w in enumerate(words)]
+    for i in range(len(words)):
+        k1, k2 = (kind[i - 1] if i else begin), (kind[i - 2] if i > 1 else begin)
+        two = mixed(k1, kind[i])
+        for h in (word[i], mixed(word[i - 1] if i else begin, word[i]), mixed(3, kind[i]), mixed(4, two), mixed(5, mixed(k2, two))):
+            p = h >> 17 & (1 << 18) - 1
+            out[p] = out.get(p, 0) + 1
+    return out, len(words)
+
+
+def test_quality_features_and_updates_against_brute_force():
+    import pyarrow as pa
+
+    from situ.llm import quality
+
+    found = [*texts(), "AbC1x ÀÉé ße 1½٣ a-B--c  9x9", "Z" * 30 + "y" * 30, "-" * 40 + "A", "-" * 40 + "a", "x x X x"]
+    places, counts = quality.features(pa.array(found, pa.string()))
+    at = 0
+    for t, n in zip(found, counts.tolist()):
+        want, words = brute_features(t)
+        got, times = np.unique(places[:, at : at + n], return_counts=True)
+        assert n == words and dict(zip(got.tolist(), times.tolist())) == want, t
+        at += n
+    assert set(places[:, -6].tolist()) and brute_features("-" * 40 + "A") != brute_features("-" * 40 + "a")
+    # Updates: per coordinate z and n as in the published algorithm, one example after the other.
+    r = random.Random(8)
+    examples = [({r.randrange(50): r.random() for _ in range(8)}, r.randint(0, 1)) for _ in range(200)]
+    z, n = {}, {}
+
+    def weight(i):
+        return 0.0 if abs(z.get(i, 0.0)) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for x, y in examples:
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    got = quality.fit((np.array(list(x)), np.array(list(x.values())), y) for x, y in examples)
+    assert np.allclose(got[:50], [weight(i) for i in range(50)], atol=1e-5) and not got[50:].any()
+    # A score is the logistic function of the mean weight of a text's features, times five, and the bias.
+    w = np.zeros(quality.SIZE + 1)
+    w[: quality.SIZE] = np.random.default_rng(1).normal(size=quality.SIZE)
+    w[-1] = 0.3
+    for t, s in zip(found, quality.scores(pa.array(found, pa.string()), w).tolist()):
+        f, words = brute_features(t)
+        assert abs(s - 1 / (1 + math.exp(-max(-30, min(30, 0.3 + sum(w[i] * c for i, c in f.items()) / max(1, words)))))) < 1e-9
+
+
 def encoded(text):
     from tokenizers import Tokenizer
 
