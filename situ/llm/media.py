@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import release, without
 from .tokens import batches as bounded
 
 #: Payloads are filled up with spaces to a multiple of this many bytes.
@@ -75,6 +75,25 @@ def encode_frame(samples: np.ndarray) -> bytes:
     return b"\xff\xd8" + head + data + b"\xff\xd9"
 
 
+def _standard() -> dict[int, tuple[bytes, bytes]]:
+    """Tables of images without any, as is the custom in AVI files: those of the JPEG standard's annex K, by class and place."""
+    # Numbers of codes by length, then the symbols by their codes.
+    dc0, dc1 = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0])
+    ac0 = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125])
+    ac1 = bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119])
+    symbols0 = bytes.fromhex(
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+        "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7"
+        "c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    )
+    symbols1 = bytes.fromhex(
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a43444546474849"
+        "4a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5"
+        "c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+    )
+    return {0: (dc0, bytes(range(12))), 1: (dc1, bytes(range(12))), 16: (ac0, symbols0), 17: (ac1, symbols1)}
+
+
 class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
@@ -125,7 +144,7 @@ def decode_frame(data: bytes) -> np.ndarray:
     """
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG image")
-    at, tables, quant, frame, restart = 2, {}, {}, None, 0
+    at, tables, quant, frame, restart = 2, _standard(), {}, None, 0
     while True:
         if at + 4 > len(data) or data[at] != 255:
             raise ValueError("bad JPEG segment")
@@ -166,6 +185,8 @@ def decode_frame(data: bytes) -> np.ndarray:
 
 def _lossless(coded: bytes, rows: int, columns: int, table: tuple[bytes, bytes]) -> np.ndarray:
     n = rows * columns
+    if n > 8 * len(coded):  # a sample takes a bit at least
+        raise ValueError("image data end too soon")
     if table == (_COUNTS, _SYMBOLS):
         raw = np.frombuffer(coded, np.uint8)
         if len(raw) < (n * 9 + 7) // 8:
@@ -192,6 +213,8 @@ def _baseline(coded: bytes, frame: tuple, tables: dict, quant: dict, scan: dict,
         tall = wide = 1
         parts = [(parts[0][0], 1, 1, parts[0][3])]
         across, down = -(-columns // 8), -(-rows // 8)
+    if across * down * sum(p[1] * p[2] for p in parts) * 2 > 8 * len(coded):  # a block takes two bits at least
+        raise ValueError("image data end too soon")
     codes = {k: _table(*v) for k, v in tables.items()}
     pieces, start = [], 0
     for i in range(len(coded) - 1):
@@ -276,30 +299,29 @@ def read_avi(media: bytes) -> tuple[float, int | None, list[bytes]]:
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     rate, length, handler, movi, index = None, None, None, None, None
-
-    def walk(a: int, b: int) -> None:
-        nonlocal rate, length, handler, movi, index
-        while a + 8 <= b:
-            name, size = media[a : a + 4], struct.unpack_from("<I", media, a + 4)[0]
-            body, end = a + 8, min(a + 8 + size, b)
-            if name == b"LIST":
-                if media[body : body + 4] == b"movi":
-                    movi = (body, end)
-                else:
-                    walk(body + 4, end)
-            elif name == b"avih" and rate is None:
-                rate = 1e6 / max(1, struct.unpack_from("<I", media, body)[0])
-            elif name == b"strh" and handler is None and media[body : body + 4] == b"vids":
-                handler = media[body + 4 : body + 8]
-                scale, per = struct.unpack_from("<II", media, body + 20)
-                rate = per / scale if scale and per else rate
-            elif name == b"ICMT" and (text := media[body:end].rstrip(b"\0")).startswith(b"payload_bytes="):
-                length = int(text[14:])
-            elif name == b"idx1":
-                index = (body, end)
-            a = body + size + (size & 1)
-
-    walk(12, len(media))
+    waiting = [(12, len(media))]
+    while waiting:
+        a, b = waiting.pop()
+        if a + 8 > b:
+            continue
+        name, size = media[a : a + 4], struct.unpack_from("<I", media, a + 4)[0]
+        body, end = a + 8, min(a + 8 + size, b)
+        waiting.append((body + size + (size & 1), b))  # what follows the chunk comes after what is in it
+        if name == b"LIST":
+            if media[body : body + 4] == b"movi":
+                movi = (body, end)
+            else:
+                waiting.append((body + 4, end))
+        elif name == b"avih" and rate is None:
+            rate = 1e6 / max(1, struct.unpack_from("<I", media, body)[0])
+        elif name == b"strh" and handler is None and media[body : body + 4] == b"vids":
+            handler = media[body + 4 : body + 8]
+            scale, per = struct.unpack_from("<II", media, body + 20)
+            rate = per / scale if scale and per else rate
+        elif name == b"ICMT" and (text := media[body:end].rstrip(b"\0")).startswith(b"payload_bytes="):
+            length = int(text[14:])
+        elif name == b"idx1":
+            index = (body, end)
     if movi is None or handler is None:
         raise ValueError("no frames or no video stream")
     frames = []
@@ -319,22 +341,22 @@ def read_avi(media: bytes) -> tuple[float, int | None, list[bytes]]:
     return rate or float(RATE), length, frames
 
 
-def shots(frames: list[np.ndarray], bins: int = 16, window: int = 8, factor: float = 2.0, least: float = 0.1) -> list[tuple[int, int]]:
+def shots(frames: list[np.ndarray], bins: int = 16, window: int = 8, factor: float = 2.0, least: float = 0.1, most: float = 0.6) -> list[tuple[int, int]]:
     """First and last frame of each shot.
 
-    Two frames differ by half the summed difference of their histograms (0 to 1).  A cut is where that exceeds both
-    ``least`` and ``factor`` times the mean of up to ``window`` differences since the last cut.
+    Two frames differ by half the summed difference of their histograms (0 to 1).  A cut is where that exceeds ``factor``
+    times the mean of the last ``window`` differences that were no cuts, but at least ``least``, and ``most`` suffices.
+    Before the first difference the mean is taken to be ``least``.
     """
-    cuts, recent, last = [0], [], None
+    cuts, recent, last = [0], [least], None
     for i, f in enumerate(frames):
         now = np.bincount(f.ravel().astype(np.uint16) * bins >> 8, minlength=bins) / max(1, f.size)
         if last is not None:
             d = float(np.abs(now - last).sum() / 2)
-            if d > least and recent and d > factor * sum(recent) / len(recent):
+            if d > min(most, max(least, factor * sum(recent) / len(recent))):
                 cuts.append(i)
-                recent = []
             else:
-                recent = [*recent[1 - window :], d]
+                recent = [*recent[-window + 1 :], d]
         last = now
     return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], len(frames)])] if frames else []
 
@@ -344,7 +366,9 @@ def store_texts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     @F.arrow_udf("binary")
     def stored(texts: pa.Array) -> pa.Array:
-        return pa.array([write_avi(padded(t)) for t in texts.to_pylist()], pa.binary())
+        made = [pa.array([write_avi(padded(t.as_py())) for t in b.column(0)], pa.binary()) for b in bounded(pa.record_batch([texts], ["text"]), "text", 4 << 20)]
+        release()
+        return pa.concat_arrays(made) if made else pa.array([], pa.binary())
 
     return docs.select(*(keep or ["doc_id"]), stored(F.col("text").cast("string")).alias("media"))
 
@@ -376,6 +400,19 @@ def probe_media(df: DataFrame, column: str = "media", payload: bool = False) ->
     return without(df, "probe").withColumn("probe", probed(F.col(column)))
 
 
+def media_clips(df: DataFrame, column: str = "media") -> DataFrame:
+    """One row for each clip of each row of ``df``, without the media: the other columns, clip (its number from 0),
+    start_s, end_s, first_frame, last_frame, mean, error.  Null, damaged and empty media have one row without a clip, and
+    say why in ``error``.  Columns of these names are replaced.
+    """
+    names = ["clip", "start_s", "end_s", "first_frame", "last_frame", "mean", "error"]
+    rows = probe_media(without(df, *(n for n in names if n != column.lower())), column)
+    kept = without(rows, column, "probe").columns
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer("probe.clips").alias("clip", "__c"), F.col("probe.error").alias("error")).select(
+        *[F.col(f"`{c}`") for c in kept], "clip", *[F.col(f"__c.{n}").alias(n) for n in names[1:-1]], "error"
+    )
+
+
 _CLIP = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int64()), ("last_frame", pa.int64()), ("mean", pa.float64())])
 _TYPE = pa.struct([("payload", pa.binary()), ("n_frames", pa.int64()), ("error", pa.string()), ("clips", pa.list_(_CLIP))])
 
@@ -391,7 +428,7 @@ def _probe(media: bytes | None, payload: bool) -> dict:
         return {"error": "no media"}
     try:
         raw, frames, rate = read_payload(media)
-    except (ValueError, KeyError, IndexError, struct.error) as e:
+    except (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error) as e:
         return {"error": f"{type(e).__name__}: {e}"}
     return {"payload": raw if payload else None, "n_frames": len(frames), "clips": _clips(frames, rate), "error": None}
 
@@ -414,6 +451,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                     payload, frames, rate = read_payload(media)
                     feature = f"{len(frames)} frames; " + ", ".join(f"{c['start_s']:.2f}-{c['end_s']:.2f}s@{c['mean']:.3f}" for c in _clips(frames, rate))
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                release()
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.record_batch(

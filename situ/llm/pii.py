@@ -1,8 +1,8 @@
 """Pseudonyms for personal data that keep its format.
 
 What is found and valid (card and account numbers by their check digits, addresses by their range, dates by the
-calendar, telephone and social security numbers by their numbering rules, mail addresses) is numbered within all values
-of its format; a Feistel network with a secret key permutes these numbers, walking on until it meets one of the format.
+calendar of the years 1 to 9999, telephone and social security numbers by their numbering rules, mail addresses by the
+lengths that their parts may have) is numbered within all values of its format; a Feistel network with a secret key permutes these numbers, walking on until it meets one of the format.
 Equal values get equal pseudonyms in every document, and different ones stay different.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +23,6 @@ from .common import without
 
 ROUNDS = 8
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
-_FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 _DIGITS, _SMALL, _LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -131,7 +132,10 @@ def _phone(s: str, key: bytes) -> str | None:
     national = d[1:] if len(d) == 11 and d[0] == "1" else d
     if len(national) == 10 and (len(d) == 10 or len(d) == 11) and (s[0] != "+" or d[0] == "1"):
         if national[0] < "2":
-            return None
+            if s[0] not in "+(":  # by its look a plain number
+                return None
+            v = permute(int(national), 2 * 10**9, key, b"phone0")  # no such numbers are given out; they stay among themselves
+            return _refill(s, d[: len(d) - 10] + str(v).zfill(10))
         v = permute((int(national[0]) - 2) * 10**9 + int(national[1:]), 8 * 10**9, key, b"phone1")
         return _refill(s, d[: len(d) - 10] + str(v + 2 * 10**9))
     if s[0] != "+" or not 8 <= len(d) <= 15:
@@ -141,6 +145,7 @@ def _phone(s: str, key: bytes) -> str | None:
 
 
 def _date(s: str, key: bytes) -> str | None:
+    """Dates are permuted among those that are written with the same order and as many digits, in all years."""
     a, b, c = re.split("[-/.]", s)
     for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
         at = dict(zip(order, (a, b, c)))
@@ -148,34 +153,45 @@ def _date(s: str, key: bytes) -> str | None:
             day = datetime.date(int(at["y"]), int(at["m"]), int(at["d"]))
         except ValueError:
             continue
-        if not _FIRST_DAY <= day <= _LAST_DAY:
-            return None
-        # Days of up to 12 could be read both ways; they are permuted among each other, so that all stay readable as before.
-        days = _days(order if len(a) != 4 else "ymd")
-        new = days[permute(_place(order, day), len(days), key, b"date" + order.encode())] if _place(order, day) is not None else None
-        if new is None:
-            continue
-        return s[len(a)].join({"y": f"{new.year:04d}", "m": str(new.month).zfill(len(at["m"])), "d": str(new.day).zfill(len(at["d"]))}[k] for k in order)
+        # What reads as day-month first is taken so; the other way are only days above 12, which stay above 12.
+        days = Days(len(at["m"]), len(at["d"]), 13 if order == "mdy" else 1)
+        new = days.day(permute(days.place(day), days.before(10_000), key, b"date%s%d%d" % (order.encode(), len(at["m"]), len(at["d"]))))
+        return s[len(a)].join({"y": f"{new[0]:04d}", "m": str(new[1]).zfill(len(at["m"])), "d": str(new[2]).zfill(len(at["d"]))}[k] for k in order)
     return None
 
 
-@lru_cache(maxsize=3)
-def _days(order: str) -> list[datetime.date]:
-    """All days, or those that only month-day order can mean."""
-    every = [_FIRST_DAY + datetime.timedelta(i) for i in range((_LAST_DAY - _FIRST_DAY).days + 1)]
-    return [d for d in every if d.day > 12] if order == "mdy" else every
+class Days:
+    """The days of the years 1 to 9999 whose month and day of at least ``least`` fit so many digits, by their numbers."""
+
+    def __init__(self, month_digits: int, day_digits: int, least: int = 1):
+        self.plain, self.leap = _year(month_digits, day_digits, least, 2001), _year(month_digits, day_digits, least, 2000)
+
+    def before(self, year: int) -> int:
+        """Days in the years before this one."""
+        n = year - 1
+        return n * len(self.plain) + (n // 4 - n // 100 + n // 400) * (len(self.leap) - len(self.plain))
+
+    def _of(self, year: int) -> list[tuple[int, int]]:
+        return self.leap if year % 4 == 0 and (year % 100 != 0 or year % 400 == 0) else self.plain
 
+    def place(self, day: datetime.date) -> int:
+        """A day's number."""
+        return self.before(day.year) + bisect_right(self._of(day.year), (day.month, day.day)) - 1
 
-@lru_cache(maxsize=3)
-def _places(order: str) -> dict:
-    return {d: i for i, d in enumerate(_days(order))}
+    def day(self, place: int) -> tuple[int, int, int]:
+        """The year, month and day with a number."""
+        year = bisect_right(range(1, 10_000), place, key=self.before)
+        return (year, *self._of(year)[place - self.before(year)])
 
 
-def _place(order: str, day: datetime.date) -> int | None:
-    return _places(order).get(day)
+@lru_cache(maxsize=None)  # 16 at most
+def _year(month_digits: int, day_digits: int, least: int, year: int) -> list[tuple[int, int]]:
+    every = (datetime.date(year, 1, 1) + datetime.timedelta(i) for i in range(365 + (year == 2000)))
+    return [(d.month, d.day) for d in every if d.month < 10**month_digits and least <= d.day < 10**day_digits]
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_LOCAL = "".join((_DIGITS, _SMALL, _LARGE, "._%+-"))
+_DOMAIN = re.compile(r"@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}")
 _NUMBER = re.compile(
     r"(?P<date>(?<![\w/.\-])(?:\d{4}-\d\d?-\d\d?|\d{4}/\d\d?/\d\d?|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/\-]|\.\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
@@ -192,6 +208,20 @@ _RUN = re.compile(r"[+(]*\d(?:[ ().+/\-]*\d)*")
 MOST = 40
 
 
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    """Where mail addresses begin and end, found from their @ outwards; local parts have 64 characters at most, domains 255."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        low, m = max(low, at - 65), _DOMAIN.match(text, at)
+        n = at - low - len(text[low:at].rstrip(_LOCAL))
+        if m and 0 < n <= 64 and m.end() - at <= 256:
+            yield at - n, m.end()
+            low = at = m.end()
+        else:
+            low = at = at + 1
+        at = text.find("@", at)
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts: dict[str, int] = {}
@@ -209,31 +239,45 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
             kind, made = "phone", _phone(m[0], key)
         return None if made is None else swap(kind, made, m[0])
 
-    if "@" in text:
-        text = _EMAIL.sub(lambda m: swap("email", _email(m[0], key), m[0]), text)
-    if _ANY_DIGIT.search(text):
-        # What a rule has replaced is not looked at by the next one.
-        out, at = [], 0
-        for m in _IBAN.finditer(text):
+    def numbers(a: int, b: int) -> str:
+        part = text[a:b]
+        return _replaced(part, number) if _ANY_DIGIT.search(part) else part
+
+    def rest(a: int, b: int) -> str:
+        """What has no mail address; what a rule has replaced is not looked at by the next one."""
+        out, at = [], a
+        for m in _IBAN.finditer(text, a, b):
             if (made := _iban(m[0], key)) is not None:
-                out += [_sub_numbers(text[at : m.start()], number), swap("iban", made, m[0])]
+                out += [numbers(at, m.start()), swap("iban", made, m[0])]
                 at = m.end()
-        text = "".join(out) + _sub_numbers(text[at:], number)
-    return text, counts
+        return "".join(out) + numbers(at, b)
+
+    out, at = [], 0
+    for a, b in _mails(text):
+        out += [rest(at, a), swap("email", _email(text[a:b], key), text[a:b])]
+        at = b
+    return "".join(out) + rest(at, len(text)), counts
 
 
 def _replaced(text: str, number, start: int = 0, stop: int | None = None) -> str:
     """Numbers of a part of the text replaced; where one is not valid, the longest valid run of digit groups that starts in it."""
     out, at, stop = [], start, len(text) if stop is None else stop
+    failed: set[tuple[int, int]] = set()  # spans that were tried; matches overlap, and each span is tried once
     while m := _NUMBER.search(text, start, stop):
         (a, b), made = m.span(), number(m)
         if made is None:
             starts = [g.start() for g in _GROUP.finditer(text, *m.span())]
             last = _RUN.match(text, m.start(), min(stop, m.end() + MOST)).end()
-            ends = [last, *(i for i in range(m.start(), last) if text[i] == " ")]
-            for a, b in sorted(((x, y) for x in starts for y in ends if 6 < y - x <= MOST and (x, y) != m.span()), key=lambda s: (s[0] - s[1], s[0])):
+            ends = [i for i in range(m.start() + 7, last) if text[i] == " "]
+            ends.append(last)
+            if len(failed) > 4096:
+                failed = {s for s in failed if s[0] >= m.start()}
+            failed.add(m.span())
+            spans = [(x - y, x, y) for x in starts for y in ends if 6 < y - x <= MOST and (x, y) not in failed]
+            for _, a, b in sorted(spans):
                 if (inner := _NUMBER.fullmatch(text, a, b)) and (made := number(inner)) is not None:
                     break
+                failed.add((a, b))
         if made is not None:
             out += [text[at : m.start()], _replaced(text, number, m.start(), a) if a > m.start() else "", made]
             at = start = b
@@ -244,17 +288,6 @@ def _replaced(text: str, number, start: int = 0, stop: int | None = None) -> str
     return "".join(out) + text[at:stop]
 
 
-def _sub_numbers(text: str, number) -> str:
-    """Numbers outside mail addresses, which have their pseudonyms already."""
-    if "@" not in text:
-        return _replaced(text, number)
-    out, at = [], 0
-    for m in _EMAIL.finditer(text):
-        out += [_replaced(text[at : m.start()], number), m[0]]
-        at = m.end()
-    return "".join(out) + _replaced(text[at:], number)
-
-
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and the columns n_replaced and n_<kind> (long) for each of KINDS.
 

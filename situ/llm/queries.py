@@ -22,8 +22,8 @@ from .wavelet import read_documents, token_files
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Target weights of op4: the source that is largest in the tables has two parts, each other one has one.
 WEIGHTS = {"src0": 2}
-#: The pseudonyms' key; a deployment gives its own.
-KEY = b"situ pseudonyms"
+#: The setting that holds the pseudonyms' key, and the key of tests and checks, which is no secret.
+KEY_SETTING, TEST_KEY = "spark.situ.pseudonyms.key", "situ pseudonyms"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal data."""
-    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, TEST_KEY).encode())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,11 +192,74 @@ def test_media_round_trip(docs, rows, empty):
     assert probes[-1].error and probes[-2].error == "no media" and bytes(probes[4].payload) == padded("One")
 
 
+def brute_feature(payload):
+    """The feature string of a stored payload, by loops over its bytes."""
+    size = min(3072, len(payload))
+    frames = [payload[i : i + size] for i in range(0, len(payload), size)]
+    frames = [f + f[-1:] * (size - len(f)) for f in frames]
+    cuts, recent = [0], [0.1]
+    for i in range(1, len(frames)):
+        d = sum(abs(sum(c >> 4 == b for c in frames[i]) - sum(c >> 4 == b for c in frames[i - 1])) for b in range(16)) / size / 2
+        if d > 0.6 or d > 0.1 and d > 2 * sum(recent) / len(recent):
+            cuts.append(i)
+        else:
+            recent = [*recent, d][-8:]
+    clips = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(frames)])]
+    mean = lambda a, b: sum(sum(f) / size for f in frames[a:b]) / (b - a)
+    return f"{len(frames)} frames; " + ", ".join(f"{a / 25:.2f}-{b / 25:.2f}s@{mean(a, b):.3f}" for a, b in clips)
+
+
+def test_media_features_against_brute_force(spark):
+    from situ.llm.media import media_digests, padded
+
+    r = random.Random(2)
+    found = ["", "x", "plain words " * 2000, "".join(r.choice(["the cat sat ", "0000 9999 ", "ÄÖÜ日本"]) * r.randint(1, 400) for _ in range(40)), "A" * 3072 + "z" * 3072 + "\n" * 100]
+    got = media_digests(spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")).collect()
+    assert {i: f.feature for i, f in ((x.doc_id, x) for x in got)} == {i: brute_feature(padded(t)) for i, t in enumerate(found)}
+    assert any(f.feature.count("@") > 1 for f in got)
+
+
+def test_media_hostile_and_tableless_files(spark):
+    import struct
+
+    from situ.llm import media
+
+    deep = b""
+    for _ in range(3000):
+        deep = media._chunk(b"LIST", b"abcd" + deep)
+    head = media._chunk(b"LIST", b"hdrl" + media._chunk(b"strh", b"vidsMJPG" + b"\0" * 48))
+    huge = b"\xff\xd8" + media._segment(0xDB, b"\0" + bytes([1] * 64)) + media._segment(0xC0, struct.pack(">BHHBBBB", 8, 65535, 65535, 1, 1, 0x11, 0)) + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"\0\0\xff\xd9"
+    files = [b"RIFF" + struct.pack("<I", len(x) + 4) + b"AVI " + x for x in (deep, head + media._chunk(b"LIST", b"movi" + media._chunk(b"00dc", huge)), deep + head + media._chunk(b"LIST", b"movi"))]
+    good = media.write_avi(media.padded("A" * 3072 + "z" * 6144))
+    table = spark.createDataFrame([*((i, bytearray(f), 5) for i, f in enumerate(files)), (8, None, 5), (9, bytearray(good), 5)], "doc_id long, media binary, clip int")
+    rows = {i: [r for r in media.media_clips(table).collect() if r.doc_id == i] for i in (0, 1, 2, 8, 9)}
+    assert [len(v) for v in rows.values()] == [1, 1, 1, 1, 2] and rows[0][0].error and "too soon" in rows[1][0].error and rows[8][0].error == "no media"
+    assert [(r.clip, r.start_s, r.end_s, r.first_frame, r.last_frame, r.mean) for r in rows[9]] == [(0, 0.0, 0.04, 0, 0, 65.0), (1, 0.04, 0.12, 1, 2, 122.0)]
+    # An image that Java encoded, with its tables cut out, decodes to what Java decodes.
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(40, 24, 10)
+    for y in range(24):
+        for x in range(40):
+            image.getRaster().setSample(x, y, 0, (x * 5 + y * y) % 256)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data, at = bytes(out.toByteArray()), 2
+    kept = data[:2]
+    while data[at + 1] != 0xDA:
+        size = struct.unpack_from(">H", data, at + 2)[0] + 2
+        kept += b"" if data[at + 1] == 0xC4 else data[at : at + size]
+        at += size
+    theirs = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data))).getRaster()
+    want = np.array([[theirs.getSample(x, y, 0) for x in range(40)] for y in range(24)])
+    assert len(kept) < len(data) - at - 300 + at and np.abs(media.decode_frame(kept + data[at:]).astype(int) - want).max() <= 1
+
+
 def test_media_shots_and_baseline_frames():
     from situ.llm import media
 
     dark, light = np.full((8, 8), 10, np.uint8), np.full((8, 8), 200, np.uint8)
     assert media.shots([dark] * 5 + [light] * 4) == [(0, 4), (5, 8)]
+    assert media.shots([dark, light, light, dark, light]) == [(0, 0), (1, 2), (3, 3), (4, 4)]
     assert media.shots([]) == []
     # A grey baseline frame of two blocks: DC 80 * quant 1, then the same; all AC zero.
     dht = media._segment(0xC4, b"\x00" + bytes([0, 2] + [0] * 14) + bytes([7, 0])) + media._segment(0xC4, b"\x10" + bytes([1] + [0] * 15) + bytes([0]))
@@ -345,11 +408,122 @@ def test_pseudonyms(docs, rows, empty):
 
 
 def test_feistel_is_a_permutation():
-    from situ.llm.pii import _days, _date, permute
+    from situ.llm.pii import permute
 
     for size in (1, 2, 7, 100, 1000):
         assert sorted(permute(i, size, b"k", b"t") for i in range(size)) == list(range(size))
-    assert len({_date(d.isoformat(), b"k") for d in _days("ymd")[:5000]}) == 5000
+
+
+def test_dates_of_all_years_keep_their_format():
+    import datetime
+
+    from situ.llm.pii import Days, _date
+
+    for digits in ((1, 1, 1), (2, 2, 1), (1, 2, 13), (2, 1, 1)):
+        days, at = Days(*digits), 0
+        for d in (datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(5 * 366)):
+            if d.month < 10 ** digits[0] and digits[2] <= d.day < 10 ** digits[1]:
+                assert days.day(days.place(d)) == (d.year, d.month, d.day) and days.place(d) == (at or days.place(d))
+                at = days.place(d) + 1
+        assert days.day(0)[0] == 1 and days.day(days.before(10_000) - 1)[0] == 9999
+    r = random.Random(6)
+    for shape in ("{d}/{m}/{y:04}", "{m}/{d}/{y:04}", "{y:04}-{m:02}-{d:02}", "{d:02}.{m:02}.{y:04}", "{y:04}/{m}/{d}"):
+        made = {}
+        for _ in range(300):
+            day = datetime.date(1, 1, 1) + datetime.timedelta(r.randrange(3652059))
+            old = shape.format(y=day.year, m=day.month, d=day.day)
+            new = _date(old, b"k")
+            assert new != old and [len(x) for x in new.replace("/", "-").replace(".", "-").split("-")] == [len(x) for x in old.replace("/", "-").replace(".", "-").split("-")]
+            assert _date(new, b"k") and made.setdefault(new, old) == old
+    assert _date("31/12/1899", b"k") != "31/12/1899" and _date("31/02/2020", b"k") is None and _date("0000-01-01", b"k") is None
+
+
+def brute_permute(value, size, key, tweak):
+    """A Feistel network of eight rounds on pairs of numbers, from its description."""
+    root = 1
+    while root * root < size:
+        root *= 2
+    width = (root.bit_length() - 1 + 7) // 8
+    while True:
+        a, b = divmod(value, root)
+        for i in range(8):
+            h = hashlib.blake2b(tweak + bytes([i]) + b.to_bytes(width, "big"), key=key, digest_size=width + 8).digest()
+            a, b = b, a ^ int.from_bytes(h, "big") % root
+        value = a * root + b
+        if value < size:
+            return value
+
+
+def test_pseudonyms_against_brute_force():
+    import ipaddress
+
+    from situ.llm.pii import luhn, pseudonymise
+
+    r, k = random.Random(12), b"secret"
+
+    def card():
+        body = r.choice("23456") + "".join(r.choice("0123456789") for _ in range(14))
+        old = body + str(luhn(body))
+        new = body[0] + str(brute_permute(int(old[1:-1]), 10**14, k, b"card16" + body[0].encode())).zfill(14)
+        return old, new + str(next(d for d in range(10) if sum(sum(map(int, str(int(c) * (1 + (i % 2))))) for i, c in enumerate(reversed(new + str(d)))) % 10 == 0))
+
+    def ip():
+        n = r.randrange(1 << 32)
+        return str(ipaddress.ip_address(n)), str(ipaddress.ip_address(brute_permute(n, 1 << 32, k, b"ip")))
+
+    def ssn():
+        every = [a for a in range(1, 900) if a != 666]
+        a, g, s = r.choice(every), r.randint(1, 99), r.randint(1, 9999)
+        n = brute_permute((every.index(a) * 99 + g - 1) * 9999 + s - 1, len(every) * 99 * 9999, k, b"ssn")
+        return f"{a:03}-{g:02}-{s:04}", f"{every[n // 9999 // 99]:03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+
+    def phone():
+        n = r.randrange(2 * 10**9, 10**10)
+        m = brute_permute(n - 2 * 10**9, 8 * 10**9, k, b"phone1") + 2 * 10**9
+        return tuple(f"({str(x)[:3]}) {str(x)[3:6]}-{str(x)[6:]}" for x in (n, m))
+
+    def odd_phone():
+        n = r.randrange(2 * 10**9)
+        m = brute_permute(n, 2 * 10**9, k, b"phone0")
+        return tuple(f"+1 ({x[:3]}) {x[3:6]}-{x[6:]}" for x in (f"{n:010}", f"{m:010}"))
+
+    def mail():
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        n, size = r.randint(1, 8), 1
+        local, value = "".join(r.choice(letters) for _ in range(n)), 0
+        for c in local:
+            value, size = value * 26 + letters.index(c), size * 26
+        value, out = brute_permute(value, size, k, b"mailex.org" + b"a" * n), ""
+        for _ in range(n):
+            value, i = divmod(value, 26)
+            out = letters[i] + out
+        return f"{local}@ex.org", f"{out}@ex.org"
+
+    kinds, plain = [card, ip, ssn, phone, odd_phone, mail], ["word", "a,", "version 1.2.3", "x@y", "12", "(see", "4111 1111 1111 1112", "999.1.1.1", "666-45-6789", "no.", "\n"]
+    for _ in range(200):
+        old, new, n = [], [], 0
+        for _ in range(r.randint(0, 30)):
+            if r.random() < 0.5:
+                a, b = r.choice(kinds)()
+                n += 1
+            else:
+                a = b = r.choice(plain)
+            old += [a, "and"]
+            new += [b, "and"]
+        got, counts = pseudonymise(" ".join(old), k)
+        assert got == " ".join(new) and sum(counts.values()) == n
+
+
+def test_pseudonyms_of_very_long_runs():
+    import time
+
+    from situ.llm.pii import pseudonymise
+
+    began = time.time()
+    for text in ("a" * 1_000_000 + "@ x", "a@" * 300_000, "1" * 1_000_000, "12 " * 10_000, "x@" + "a." * 300_000, "1." * 200_000):
+        assert pseudonymise(text, b"k")[0] == text
+    assert time.time() - began < 30
+    assert pseudonymise("a" * 64 + "@b.org", b"k")[1] == {"email": 1} and pseudonymise("a" * 65 + "@b.org", b"k")[1] == {}
 
 
 def flat(t):
