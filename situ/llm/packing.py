@@ -7,7 +7,6 @@ fixed windows; a document that crosses windows becomes several pieces.  No text
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,24 +53,19 @@ def _pieces(window: int, width: str):
             sequence = np.repeat(first, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             a = np.maximum(sequence * window, starts[owner])
             b = np.minimum((sequence + 1) * window, (starts + sizes)[owner])
-            crcs = np.empty(len(owner), np.int64)
-            at = 0
-            for i, value in enumerate(batch.column("ids")):
-                ids = np.frombuffer(value.as_buffer(), width).astype("<u4")
-                for _ in range(n[i]):
-                    crcs[at] = zlib.crc32(ids[a[at] - starts[i] : b[at] - starts[i]])
-                    at += 1
+            # A batch's ids follow each other, and so do its pieces'.
+            ids = np.concatenate([np.frombuffer(value.as_buffer(), width) for value in batch.column("ids")] or [np.empty(0, width)]).astype("<u4")
             yield pa.record_batch(
                 [
                     batch.column("id").take(pa.array(owner)),
                     pa.array(a - starts[owner]),
                     pa.array(b - a),
-                    pa.array(crcs),
+                    binary_rows(ids, np.concatenate(([0], np.cumsum(b - a)))),
                     pa.array(sizes[owner]),
                     pa.array(sequence),
                     pa.array(a - sequence * window),
                 ],
-                ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
     return run
@@ -80,8 +74,8 @@ def _pieces(window: int, width: str):
 def pack(docs: DataFrame, window: int = 1024, tokenizer: str | None = None, end: int = 0, file_order: bool = False) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``window`` ids.
 
-    Columns: doc_id, start (the document's ids before the piece), length, ids_crc32, doc_tokens (with the end id),
-    sequence_id, offset (in the sequence).  A document is its text's ids and ``end``; null texts are empty.  Documents
+    Columns: doc_id, start (the document's ids before the piece), length, ids (unsigned 32-bit little-endian integers),
+    doc_tokens (with the end id), sequence_id, offset (in the sequence).  A document is its text's ids and ``end``; null texts are empty.  Documents
     follow each other as partitions read them, or with ``file_order`` (``docs`` is read from files) by the files' names
     and their rows' places; all sequences are full but the last.  Each row is a document, rows that repeat too; a null
     doc_id stays null; columns other than doc_id and text are ignored.
@@ -98,5 +92,18 @@ def pack(docs: DataFrame, window: int = 1024, tokenizer: str | None = None, end:
     before = F.broadcast(spark.createDataFrame(offsets, "part int, run string, before long"))
     placed = encoded.join(before, ["part", "run"]).select("id", (F.col("before") + F.col("at")).alias("start"), "n", "ids")
     width = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
-    out = placed.mapInArrow(_pieces(window, width), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.select(id_or_null(F.col("id")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    out = placed.mapInArrow(_pieces(window, width), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return out.select(id_or_null(F.col("id")).alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """One row for each sequence of the pieces that ``pack`` returns: sequence_id, ids (as in pieces), n_tokens, and
+    boundaries, an array of (offset, length, doc_id, start) in the order of the sequence.
+
+    Only ids move, to their sequence; a sequence has as many pieces as ids at most.  No pieces give no sequences.
+    """
+    record = F.struct("offset", "length", "doc_id", "start", "ids")
+    whole = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(record)).alias("all"), F.sum("length").alias("n_tokens"))
+    ids = F.unhex(F.array_join(F.transform("all", lambda p: F.hex(p["ids"])), ""))
+    bounds = F.transform("all", lambda p: F.struct(p["offset"].alias("offset"), p["length"].alias("length"), p["doc_id"].alias("doc_id"), p["start"].alias("start")))
+    return whole.select("sequence_id", ids.alias("ids"), "n_tokens", bounds.alias("boundaries"))

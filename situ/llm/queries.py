@@ -77,7 +77,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 1024 ids."""
-    return pack(table(spark, sf_dir, "documents"))
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

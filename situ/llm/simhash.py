@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, id_key, id_or_null, without, written
+from .common import LOWER, components, id_key, id_or_null, join_hot, without, written
 
 #: A shard of more distinct fingerprints is dealt again.
 SHARD = 2048
@@ -190,13 +190,14 @@ def near_groups(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id that links reach, the
     row's own included.  Null and empty texts have fingerprint zero, which links like any other.  Rows that repeat give
-    rows that repeat.  Links hold between fingerprints, whatever ids have them.  A null doc_id counts as the largest one; component_id is null where no other is reached.  Other
-    columns are ignored.  An empty table gives an empty result.
+    rows that repeat.  Links hold between fingerprints, whatever ids have them.  A null doc_id counts as the largest one;
+    component_id is null where no other is reached.  Other columns are ignored.  An empty table gives an empty result.
     """
     prints = _prints(words)
     rows = written(docs.select(id_key().alias("id"), prints(F.col("text").cast("string")).alias("fp")))
-    known = _grouped(written(rows.groupBy("fp").agg(F.min("id").alias("first"))), radius)
-    return rows.join(known, "fp").select(
+    firsts = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    known = written(_grouped(firsts, radius).join(firsts.select("fp", "n"), "fp"))
+    return join_hot(rows, known, ["fp"], "n").select(
         id_or_null(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_or_null(F.col("keep_id")).alias("component_id")
     )
 
@@ -211,8 +212,8 @@ def _kept(firsts: DataFrame, node: str, links: DataFrame) -> DataFrame:
     """``firsts`` (node, first: its smallest id) with keep_id and keep_node: of the nodes that links reach, those of the smallest (id, node)."""
     groups = components(links)
     known = written(firsts.join(groups.withColumnRenamed("node", node), node, "left").select(node, "first", F.coalesce("component", node).alias("component")))
-    best = known.groupBy("component").agg(F.min(F.struct("first", node)).alias("best"))
-    return known.join(best, "component").select(node, F.col("best.first").alias("keep_id"), F.col(f"best.{node}").alias("keep_node"))
+    best = written(known.groupBy("component").agg(F.min(F.struct("first", node)).alias("best"), F.count("*").alias("n")))
+    return join_hot(known, best, ["component"], "n").select(node, F.col("best.first").alias("keep_id"), F.col(f"best.{node}").alias("keep_node"))
 
 
 def _grouped(firsts: DataFrame, radius: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of a memo's two generations.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 160_000
 #: Longest text piece, in characters, that is worth remembering.
 MEMO_CHARS = 64
 

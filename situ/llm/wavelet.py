@@ -2,7 +2,8 @@
 
 A shard's ids are numbered by its alphabet and stored as bit-planes from the highest bit down.  At each plane the ids
 whose bit is 0 come first on the next plane, in order, then those whose bit is 1; with counts of ones before each block
-of a plane, any id is found, counted or looked up without unpacking the file.  Files are held as rows (one binary value
+of a plane, any id is found, counted or looked up.  Planes are compressed in chunks, and only the chunks that a question
+touches are unpacked.  Files are held as rows (one binary value
 for each file) of a table in the shared folder, which any executor can read whatever store that folder is in.
 """
 
@@ -27,13 +28,40 @@ from .tokens import default_tokenizer, encoder
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks.
 BLOCK = 512
-_MAGIC = b"SWM1"
+#: Bytes of a plane that are compressed together.
+CHUNK = 1 << 14
+_MAGIC = b"SWM2"
+
+
+class Packed:
+    """The bytes of a plane, compressed in chunks; reads like an array and unpacks the chunks that are asked for."""
+
+    def __init__(self, size: int, chunks: list[bytes]):
+        self.size, self.chunks, self.open = size, chunks, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice):
+        if not isinstance(at, slice):
+            return self._chunk(at // CHUNK)[at % CHUNK]
+        a, b, _ = at.indices(self.size)
+        if a >= b:
+            return np.empty(0, np.uint8)
+        first = a // CHUNK
+        parts = [self._chunk(i) for i in range(first, (b - 1) // CHUNK + 1)]
+        return (parts[0] if len(parts) == 1 else np.concatenate(parts))[a - first * CHUNK : b - first * CHUNK]
+
+    def _chunk(self, i: int) -> np.ndarray:
+        if i not in self.open:
+            self.open[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.chunks[i]), np.uint8)
+        return self.open[i]
 
 
 class WaveletMatrix:
     """A sequence of non-negative integers with access, rank (count) and select (occurrence lookup)."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray] | None = None):
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray] | list[Packed], zeros: list[int], ranks: list[np.ndarray] | None = None):
         self.n, self.alphabet, self.planes, self.zeros = n, alphabet, planes, zeros
         self.ranks = ranks or [self._directory(p) for p in planes]
 
@@ -69,7 +97,7 @@ class WaveletMatrix:
         """The whole sequence, from the lowest plane up."""
         now = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for b, (plane, z) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
-            ones = np.unpackbits(plane, count=self.n).view(bool)
+            ones = np.unpackbits(plane[:], count=self.n).view(bool)
             above = np.empty_like(now)
             above[np.flatnonzero(~ones)] = now[:z]
             above[np.flatnonzero(ones)] = now[z:] | now.dtype.type(1 << b)
@@ -137,29 +165,32 @@ class WaveletMatrix:
 
 
 def write_shard(ids: list[int], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
-    """A shard file: documents' ids and token counts, and their tokens' wavelet matrix, compressed part by part."""
+    """A shard file: documents' ids and token counts, and their tokens' wavelet matrix, compressed chunk by chunk."""
     matrix = WaveletMatrix.build(tokens)
     pack = zstandard.ZstdCompressor(level=1).compress
     parts = [np.array(ids, "<i8").tobytes(), np.asarray(lengths, "<u8").tobytes(), matrix.alphabet.astype("<u4").tobytes(), np.array(matrix.zeros, "<u8").tobytes()]
     for plane, ranks in zip(matrix.planes, matrix.ranks):
-        parts += [plane.tobytes(), ranks.astype("<u4").tobytes()]
+        parts += [ranks.astype("<u4").tobytes(), *(plane[i : i + CHUNK].tobytes() for i in range(0, len(plane), CHUNK))]
     packed = [pack(p) for p in parts]
     head = struct.pack("<4sQQH", _MAGIC, len(ids), matrix.n, len(matrix.planes))
     return head + struct.pack(f"<{len(packed)}Q", *map(len, packed)) + b"".join(packed)
 
 
 def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Documents' ids, their token counts and the matrix of a shard file."""
+    """Documents' ids, their token counts and the matrix of a shard file, whose planes stay compressed."""
     magic, _, n, planes = struct.unpack_from("<4sQQH", data)
     if magic != _MAGIC:
         raise ValueError("no token file")
-    sizes = struct.unpack_from(f"<{4 + 2 * planes}Q", data, 22)
+    size = (n + 7) // 8
+    chunks = -(-size // CHUNK)
+    sizes = struct.unpack_from(f"<{4 + (1 + chunks) * planes}Q", data, 22)
     at, parts, unpack = 22 + 8 * len(sizes), [], zstandard.ZstdDecompressor().decompress
-    for size in sizes:
-        parts.append(unpack(data[at : at + size]))
-        at += size
-    of = lambda i, kind: np.frombuffer(parts[i], kind)
-    matrix = WaveletMatrix(n, of(2, "<u4"), [of(4 + 2 * i, np.uint8) for i in range(planes)], of(3, "<u8").tolist(), [of(5 + 2 * i, "<u4") for i in range(planes)])
+    for length in sizes:
+        parts.append(data[at : at + length])
+        at += length
+    of = lambda i, kind: np.frombuffer(unpack(parts[i]), kind)
+    each = [4 + (1 + chunks) * i for i in range(planes)]
+    matrix = WaveletMatrix(n, of(2, "<u4"), [Packed(size, parts[i + 1 : i + 1 + chunks]) for i in each], of(3, "<u8").tolist(), [of(i, "<u4") for i in each])
     return of(0, "<i8"), of(1, "<u8").astype(np.int64), matrix
 
 
@@ -198,13 +229,14 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, end: int = 0, par
     """Writes the texts' ids, each document's followed by ``end``, in ascending doc_id order; returns the files.
 
     Columns: part, shard (together the files' order), start (ids of the part before the file), n_tokens, file.  Null
-    texts are empty; rows without a doc_id come last; rows with the same doc_id come in the order of their texts.
-    Columns other than doc_id and text are ignored.  No rows give no files.
+    texts are empty; rows without a doc_id come last; rows with the same doc_id, or none, come in the order of their texts'
+    hashes, so that however many they are, they share out to partitions; equal rows in any order.  Columns other than doc_id and text are ignored.  No rows give no files.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(id_key().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sorted_rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    sorted_rows = rows.repartitionByRange(n, "id", "hash", "place").sortWithinPartitions("id", "hash", "place").select("id", "text")
     return written(sorted_rows.mapInArrow(_shards(tokenizer or default_tokenizer(), end), "part int, shard long, start long, n_tokens long, file binary"), path)
 
 
@@ -220,16 +252,62 @@ def _documents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """One row for each document of token files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
-
-    The token totals of the parts, one row for each partition that wrote files, are all that the driver sees.
-    """
-    spark = files.sparkSession
+def _before(files: DataFrame) -> DataFrame:
+    """Ids in all parts before each one; the token totals of the parts, one row for each partition that wrote files, are
+    all that the driver sees."""
     total, offsets = 0, []
     for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):
         offsets.append((part, total))
         total += n
-    before = F.broadcast(spark.createDataFrame(offsets, "part int, before long"))
+    return F.broadcast(files.sparkSession.createDataFrame(offsets, "part int, before long"))
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """One row for each document of token files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
     found = files.select("part", "start", "file").mapInArrow(_documents, "part int, id long, at long, n_tokens long, ids_crc32 long")
-    return found.join(before, "part").select(id_or_null(F.col("id")).alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(_before(files), "part").select(id_or_null(F.col("id")).alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def count_tokens(files: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, count) for each of the tokens: how often the files have it, by rank on the compressed planes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for file in batch.column("file"):
+                matrix = read_shard(file.as_py())[2]
+                yield pa.record_batch([pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())], ["token", "count"])
+
+    found = files.select("file").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+    every = files.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tokens)], "token long")
+    return every.join(F.broadcast(found), "token", "left").select("token", F.coalesce("count", F.lit(0).cast("long")).alias("count"))  # found has a row for each token
+
+
+def find_token(files: DataFrame, token: int) -> DataFrame:
+    """One row for each occurrence of a token, by select: doc_id, offset (in the document), place (in all files)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for part, start, file in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), batch.column("file")):
+                ids, sizes, matrix = read_shard(file.as_py())
+                places = np.array([matrix.select(token, k) for k in range(matrix.count(token))], np.int64)
+                ends = np.cumsum(sizes)
+                doc = np.searchsorted(ends, places, "right")
+                yield pa.record_batch([pa.array(np.full(len(places), part, np.int32)), pa.array(ids[doc]), pa.array(places - (ends - sizes)[doc]), pa.array(start + places)], ["part", "id", "offset", "at"])
+
+    found = files.select("part", "start", "file").mapInArrow(run, "part int, id long, offset long, at long")
+    return found.join(_before(files), "part").select(id_or_null(F.col("id")).alias("doc_id"), "offset", (F.col("before") + F.col("at")).alias("place"))
+
+
+def tokens_at(files: DataFrame, places: list[int]) -> DataFrame:
+    """(place, token) for each of the places in all files, by access; places that no file has are left out."""
+    wanted = np.unique(np.array(places, np.int64))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for first, n, file in zip(batch.column("first").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("file")):
+                mine = wanted[np.searchsorted(wanted, first) : np.searchsorted(wanted, first + n)]
+                if len(mine):
+                    matrix = read_shard(file.as_py())[2]
+                    yield pa.record_batch([pa.array(mine), pa.array([matrix.access(int(p) - first) for p in mine], pa.int64())], ["place", "token"])
+
+    return files.join(_before(files), "part").select((F.col("before") + F.col("start")).alias("first"), "n_tokens", "file").mapInArrow(run, "place long, token long")

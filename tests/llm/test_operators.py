@@ -742,7 +742,10 @@ def test_encoder_equals_the_library():
 def test_packing(docs, rows, empty, window):
     from situ.llm.packing import pack
 
-    got = pack(docs, window).collect()
+    from situ.llm.packing import sequences
+
+    packed = pack(docs, window)
+    got = packed.collect()
     used = {}
     for p in got:
         used.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -763,8 +766,14 @@ def test_packing(docs, rows, empty, window):
         pieces = sorted(by[i], key=lambda p: p.start)
         assert sum(p.length for p in pieces) == len(ids)
         for p in pieces:
-            assert p.ids_crc32 == crc(ids[p.start : p.start + p.length]) and p.doc_tokens == len(ids)
-    assert pack(empty).count() == 0
+            assert np.frombuffer(p.ids, "<u4").tolist() == ids[p.start : p.start + p.length] and p.doc_tokens == len(ids)
+    made = {q.sequence_id: q for q in sequences(packed).collect()}
+    assert sorted(made) == sorted(used)
+    for p in got:
+        q = made[p.sequence_id]
+        assert q.ids[4 * p.offset : 4 * (p.offset + p.length)] == p.ids and q.n_tokens == len(q.ids) // 4 <= window
+        assert (p.offset, p.length, p.doc_id, p.start) in [tuple(b) for b in q.boundaries] and [b.offset for b in q.boundaries] == sorted(b.offset for b in q.boundaries)
+    assert pack(empty).count() == 0 and sequences(pack(empty)).count() == 0
 
 
 def test_packing_follows_files(spark, docs, tmp_path):
@@ -776,19 +785,37 @@ def test_packing_follows_files(spark, docs, tmp_path):
     assert order == sorted(order, reverse=True)
 
 
-def test_token_files(docs, rows, empty):
+def test_token_files(docs, rows, empty, monkeypatch):
+    from pyspark.sql import functions as F
+
     from situ.llm import wavelet
 
-    old, wavelet.SHARD_TOKENS = wavelet.SHARD_TOKENS, 500
-    got = sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in wavelet.read_documents(wavelet.token_files(docs)).collect())
-    wavelet.SHARD_TOKENS = old
-    at, want = 0, []
-    for i, t, *_ in sorted(rows, key=lambda r: (key(r[0]), r[1] or "")):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 500)
+    files = wavelet.token_files(docs)
+    got = sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in wavelet.read_documents(files).collect())
+    hashes = {r[0]: r[1] for r in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    at, want, every = 0, [], []
+    for i, t, *_ in sorted(rows, key=lambda r: (key(r[0]), hashes[r[1] or ""])):
         ids = encoded(t)
         want.append((at, str(i), len(ids), crc(ids)))
+        every += [(i, o, x) for o, x in enumerate(ids)]
         at += len(ids)
     assert got == want
-    assert wavelet.read_documents(wavelet.token_files(empty)).count() == 0
+    # Questions to the compressed files against the whole sequence.
+    common = max({x for *_, x in every}, key=[x for *_, x in every].count)
+    assert dict(map(tuple, wavelet.count_tokens(files, [0, common, 49_999_999]).collect())) == {0: len(rows), common: [x for *_, x in every].count(common), 49_999_999: 0}
+    assert sorted((str(r.doc_id), r.offset, r.place) for r in wavelet.find_token(files, common).collect()) == sorted((str(i), o, p) for p, (i, o, x) in enumerate(every) if x == common)
+    places = [0, 7, at - 1, at + 5, *random.Random(1).sample(range(at), 50)]
+    assert sorted(map(tuple, wavelet.tokens_at(files, places).collect())) == sorted((p, every[p][2]) for p in set(places) if p < at)
+    assert wavelet.read_documents(wavelet.token_files(empty)).count() == 0 and wavelet.find_token(wavelet.token_files(empty), 3).count() == 0
+
+
+def test_token_files_share_out_rows_without_ids(spark):
+    from situ.llm import wavelet
+
+    rows = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same text' AS text")
+    sizes = [r[0] for r in wavelet.token_files(rows, partitions=4).groupBy("part").sum("n_tokens").select("sum(n_tokens)").collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
 
 
 @pytest.mark.parametrize("size,top", [(0, 1), (1, 1), (700, 1), (3000, 9), (5000, 60000), (2000, 1 << 22)])
@@ -806,6 +833,10 @@ def test_wavelet_matrix(size, top):
         k = int(r.integers(0, len(places)))
         assert m.select(v, k) == places[k]
     assert m.count(top + 5) == 0 and isinstance(m, WaveletMatrix)
+    if size == 5000:  # a question opens the chunks that it touches only
+        long = read_shard(write_shard([7], np.array([1 << 20]), r.integers(0, top, 1 << 20).astype(np.uint32)))[2]
+        long.access(12345)
+        assert all(len(p.open) == 1 and len(p.chunks) == 8 for p in long.planes)
 
 
 def brute_similar(rows, least=0.8):
