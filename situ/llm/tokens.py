@@ -2,8 +2,8 @@
 
 The ids are exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``.  A byte-level tokenizer first cuts a
 text into parts (a word with the space before it, a number, signs, white space) and merges bytes within each part only.
-Here Arrow cuts and numbers the parts of a batch; a worker keeps the ids of parts it has met in a bounded memo, and what
-is new goes through the library in one call a batch.  A text in which a special token is spelled out, and a tokenizer
+Here Arrow cuts and numbers the parts of a batch; a worker keeps the ids of parts it has met in a bounded memo of Arrow
+arrays, and what is new goes through the library in one call a batch, so that nothing is done part by part.  A text in which a special token is spelled out, and a tokenizer
 that is not byte-level, are given to the library whole.
 """
 
@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of each of a memo's two generations.
-MEMO_ENTRIES = 250_000
-#: Longest text piece, in characters, that is worth remembering.
-MEMO_CHARS = 64
+#: Entries of a worker's memo, some 40 bytes each.
+MEMO_ENTRIES = 400_000
+#: Longest part, in bytes, that is worth remembering.
+MEMO_BYTES = 64
 
 #: White space in any sense of the word.
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -29,6 +29,8 @@ _MARK = "\x01"
 _ODD = f"[{_WHITE}]{{2}}|{_MARK}"
 #: The pre-tokenizer's parts of a text without runs of white space, where its look-ahead has nothing to decide.
 _PART = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\pL+| ?\\pN+| ?[^{_WHITE}\\pL\\pN]+|[{_WHITE}]"
+#: A part that begins with a space and has no other white space there.
+_SPACED = f"^ [^{_WHITE}\\x1c-\\x1f]"
 
 
 def default_tokenizer() -> str:
@@ -46,16 +48,16 @@ def default_pattern() -> str:
 
 
 class Memo:
-    """A map of bounded size: entries that were not used for a whole generation go."""
+    """Parts and their ids, as many as ``entries`` at most: the newest."""
 
     def __init__(self, entries: int = MEMO_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
+        self.entries = entries
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def add(self, entries: dict[str, bytes]) -> None:
-        """Adds entries; a full generation becomes the old one."""
-        if len(self.young) + len(entries) > self.entries:
-            self.old, self.young = self.young, {}
-        self.young.update(entries)
+    def add(self, keys: pa.Array, values: pa.Array) -> None:
+        """Adds entries; the oldest go."""
+        start = max(0, len(self.keys) + len(keys) - self.entries)
+        self.keys, self.values = pa.concat_arrays([self.keys, keys]).slice(start), pa.concat_arrays([self.values, values]).slice(start)
 
 
 class Encoder:
@@ -111,37 +113,56 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring_regex(texts, _PART, f"\\0{_MARK}"), _MARK)
         first = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        got = self._known(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        blob = np.frombuffer(b"".join(got), self.dtype)
-        lengths = sizes[index]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = blob[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], lengths) + np.arange(ends[-1])]
+        got = self._known(coded.dictionary).take(coded.indices.cast(pa.int64()))
+        ids, ends = self._ids(got)
         return ids, ends[first]
 
-    def _known(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, from the memo or made now."""
+    def _ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of binary values in one array, and each one's first place."""
+        _, offsets, data = values.buffers()
+        ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+        ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(self.dtype) if data else np.empty(0, self.dtype)
+        return ids, (ends - ends[0]) // self.dtype.itemsize
+
+    def _values(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The ids between each start and the next as binary values."""
+        offsets = np.append(starts, len(ids)).astype(np.int64) * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def _known(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct parts, from the memo or made now."""
         memo = self._memo
-        young, old, missing = memo.young, memo.old, []
-        got = list(map(young.get, parts))
-        for j, v in enumerate(got):
-            if v is None:
-                if (v := old.get(k := parts[j])) is not None:
-                    young[k] = got[j] = v
-                else:
-                    missing.append(j)
-        if missing:
-            new = [parts[j] for j in missing]
-            spaced = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-            fresh = self._spaced_parts(spaced)
-            if rest := [p for p in new if p not in fresh]:
-                fresh.update(zip(rest, self._library(rest)))
-            for j in missing:
-                got[j] = fresh[parts[j]]
-            memo.add({p: v for p, v in fresh.items() if len(p) <= MEMO_CHARS})
+        at = pc.index_in(parts, value_set=memo.keys)
+        lost = pc.is_null(at)
+        missing = parts.filter(lost)
+        fresh = self._fresh(missing)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[lost.to_numpy(zero_copy_only=False)] = len(memo.keys) + np.arange(len(missing))
+        got = pa.concat_arrays([memo.values, fresh]).take(pa.array(place))
+        short = pc.less_equal(pc.binary_length(missing), MEMO_BYTES)
+        memo.add(missing.filter(short), fresh.filter(short))
         return got
 
+    def _fresh(self, parts: pa.Array) -> pa.Array:
+        """The ids of parts, through the library: those that begin with a space and have no other as one text, which is
+        cut where a token begins with a space."""
+        spaced = pc.match_substring_regex(parts, _SPACED)
+        together, others = parts.filter(spaced), parts.filter(pc.invert(spaced))
+        ids = np.empty(0, self.dtype)
+        if len(together):
+            _, offsets, data = together.buffers()
+            ends = np.frombuffer(offsets, np.int64)[together.offset : together.offset + len(together) + 1]
+            text = memoryview(data)[ends[0] : ends[-1]]
+            ids = np.array(self._tokenizer.encode_batch_fast([str(text, "utf-8")], add_special_tokens=False)[0].ids, self.dtype)
+        starts = np.flatnonzero(self._spaced[ids])
+        if len(starts) != len(together):
+            raise AssertionError("tokens do not begin where parts do")
+        rest, rest_ends = _joined(self._library(others.to_pylist()), self.dtype)
+        place = np.empty(len(parts), np.int64)
+        mask = spaced.to_numpy(zero_copy_only=False)
+        place[mask], place[~mask] = np.arange(len(together)), len(together) + np.arange(len(others))
+        return pa.concat_arrays([self._values(ids, starts), self._values(rest, rest_ends[:-1])]).take(pa.array(place))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``dtype.itemsize`` bytes an id, little-endian."""
         if not self._splits:
@@ -152,21 +173,11 @@ class Encoder:
             out[i] = ids
         cut = [(i, self._words.findall(t)) for i, t in enumerate(texts) if t and not out[i]]
         parts = list(dict.fromkeys(p for _, found in cut for p in found))
-        ids = dict(zip(parts, self._known(parts)))
+        ids = dict(zip(parts, self._known(pa.array(parts, pa.large_string())).to_pylist()))
         for i, found in cut:
             out[i] = b"".join([ids[p] for p in found])
         return out
 
-    def _spaced_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of parts that begin with a space and have no other: one text, cut where a token begins with a space."""
-        if not parts:
-            return {}
-        ids = np.array(self._tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
-        size = self.dtype.itemsize
-        starts = (np.flatnonzero(self._spaced[ids]) * size).tolist()
-        raw = ids.tobytes()
-        return {p: raw[a:b] for p, a, b in zip(parts, starts, [*starts[1:], len(raw)])}
-
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]

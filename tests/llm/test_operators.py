@@ -729,7 +729,7 @@ def test_encoder_equals_the_library():
     parts = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "12", ". ", "\x1c", "\u3000", "\xa0", "<|endoftext|>", "日", "😀", " x", "\0", "\x01", "²", "_"]
     odd = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [None]
     code = Encoder(default_tokenizer())
-    code._memo.entries = 50
+    code._memo.entries = 50  # so that entries come and go
     for size in (1, 100):
         for a in range(0, len(odd), size):
             ids, ends = code.encode_array(pa.array(odd[a : a + size], pa.string()))
