@@ -15,16 +15,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, id_or_null, written
+from .common import id_key, id_or_null, release, written
+from .tokens import BATCH, binary_rows, default_tokenizer, encoder
 from .tokens import batches as bounded
-from .tokens import binary_rows, default_tokenizer, encoder
 
 
 def _encoded(path: str, end: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, pid, start, run_now = encoder(path), TaskContext.get().partitionId(), 0, None
         for whole in parts:
-            for batch in bounded(whole, "text", 8 << 20):
+            for batch in bounded(whole, "text", BATCH):
                 ids, ends = code.encode_array(batch.column("text"))
                 n = len(ends) - 1
                 ids = np.insert(ids, ends[1:], ids.dtype.type(end))
@@ -39,6 +39,7 @@ def _encoded(path: str, end: int):
                     [pa.array(np.full(n, pid, np.int32)), batch.column("run"), batch.column("row"), batch.column("id"), pa.array(at), pa.array(np.diff(ends)), binary_rows(ids, ends)],
                     ["part", "run", "row", "id", "at", "n", "ids"],
                 )
+            release()
 
     return run
 

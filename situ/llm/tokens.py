@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Entries of a worker's memo, some 40 bytes each.
 MEMO_ENTRIES = 400_000
+#: Bytes of text that are encoded at once; what that needs for a moment is some 30 times as much.
+BATCH = 2 << 20
 #: Longest part, in bytes, that is worth remembering.
 MEMO_BYTES = 64
 

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_key, id_or_null, written
+from .tokens import BATCH, default_tokenizer, encoder
 from .tokens import batches as bounded
-from .tokens import default_tokenizer, encoder
 
 #: Tokens after which a shard is full; it ends with its last document.
 SHARD_TOKENS = 1 << 20
@@ -210,7 +210,7 @@ def _shards(path: str, end: int):
             return row
 
         for whole in parts:
-            for batch in bounded(whole, "text", 4 << 20):
+            for batch in bounded(whole, "text", BATCH):
                 found, ends = code.encode_array(batch.column("text"))
                 for i, a, b in zip(batch.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                     ids.append(i)
