@@ -19,6 +19,7 @@ class Table:
     name: str
     primary_key: str | None = None
     alias: str | None = None
+    columns: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -43,6 +44,7 @@ class Context:
     depends_on: tuple[str, ...] = ()
     snapshot: str | None = None  # the folder of its last refresh
     refreshed_at: float | None = None
+    key_type: str = ""
 
     @property
     def scored(self) -> bool:
@@ -113,11 +115,11 @@ class Catalog:
     """All that an engine knows by name."""
 
     def __init__(self):
-        self.tables: Names = Names("table", "E102")
+        self.tables: Names = Names("table", "E201")
         self.contexts: Names = Names("context", "E100")
-        self.logs: Names = Names("event log", "E130")
-        self.models: Names = Names("process model", "E140")
-        self.providers: Names = Names("provider", "E100")
+        self.logs: Names = Names("event log", "E202")
+        self.models: Names = Names("process model", "E203")
+        self.providers: Names = Names("provider", "E204")
         self.namespaces: dict[str, str] = {}
         self.grants: list[tuple[str, str, str]] = []
         self.identity: list[tuple[str, str]] = []
@@ -125,7 +127,7 @@ class Catalog:
         self.audit: list[tuple] = []
 
     def order(self, names: list[str] | None = None) -> list[str]:
-        """Contexts after those that they depend on; a cycle is E118."""
+        """Contexts after those that they depend on; a cycle is E103."""
         out: list[str] = []
         busy: set[str] = set()
 
@@ -134,7 +136,7 @@ class Catalog:
             if n in out or n not in self.contexts:
                 return
             if n in busy:
-                raise SituError("E118", f"context {n} depends on itself")
+                raise SituError("E103", f"context {n} depends on itself")
             busy.add(n)
             for d in self.contexts[n].depends_on:
                 visit(d)

@@ -48,8 +48,9 @@ class Engine:
 
     def register_table(self, name: str, data: Any, *, primary_key: str | None = None, alias: str | None = None) -> None:
         """Makes a table known; its frame stays lazy."""
-        self.to_frame(data).createOrReplaceTempView(name)
-        self.catalog.tables[name] = Table(name, primary_key, alias)
+        df = self.to_frame(data)
+        df.createOrReplaceTempView(name)
+        self.catalog.tables[name] = Table(name, primary_key, alias, {f.name: f.dataType.simpleString() for f in df.schema})
 
     def unregister_table(self, name: str) -> None:
         """Forgets a table."""
@@ -60,9 +61,9 @@ class Engine:
         """Makes a context known: a query or a frame that gives keys, and a score if it has one.  The query is analysed
         now and runs when a statement uses the context."""
         if not replace and name in self.catalog.contexts:
-            raise SituError("E120", f"context {name} exists")
+            raise SituError("E113", f"context {name} exists")
         if has_score and not score_column:
-            raise SituError("E110", f"context {name} has a score but no score column")
+            raise SituError("E206", f"context {name} has a score but no score column")
         known = {f.name for f in fields(Context)}
         ctx = Context(name, entity_key, score_column=score_column, **{k: v for k, v in more.items() if k in known})
         if isinstance(sql, DataFrame):
@@ -72,12 +73,16 @@ class Engine:
         self.catalog.contexts[name] = ctx
         if not ctx.params:
             try:
-                resolve(self, ctx)
+                self.typed(ctx)
             except Exception:
                 del self.catalog.contexts[name]
                 raise
         return ctx
 
+    def typed(self, ctx: Context) -> None:
+        """Analyses a context and notes the type of its key; its score must be a number."""
+        ctx.key_type = resolve(self, ctx).schema["__k"].dataType.simpleString()
+
     def context(self, name: str, *, entity_key: str, has_score: bool = False, score_column: str | None = None) -> Callable:
         """Decorator: the function returns the context's query or frame."""
 
@@ -91,7 +96,7 @@ class Engine:
         """Makes an event log known."""
         columns = {c.lower() for c in self.spark.table(source).columns}
         if missing := [c for c in (case, activity, timestamp, resource) if c and c.lower() not in columns]:
-            raise SituError("E131", f"{source} has no column {', '.join(missing)}")
+            raise SituError("E210", f"{source} has no column {', '.join(missing)}")
         self.catalog.logs[name] = EventLog(name, source, case, activity, timestamp, resource)
         return self.catalog.logs[name]
 
@@ -108,23 +113,26 @@ class Engine:
         self.catalog.identity += list(mapping.items())
 
     def authorise(self, privilege: str, name: str) -> None:
-        """Fails if grants exist for a context and the current principal has none of them."""
+        """Fails if the current principal was not granted the use of a context.  It is asked wherever members are read, and
+        counts once anything has been granted and a principal is set."""
         mine = [g for g in self.catalog.grants if g[1].lower() == f"context {name}".lower()]
-        if self.principal and mine and not any(p in (privilege, "ALL") and who.lower() == self.principal.lower() for p, _, who in mine):
-            raise SituError("E103", f"{self.principal} may not use context {name}")
+        if self.principal and self.catalog.grants and not any(p in (privilege, "ALL") and who.lower() == self.principal.lower() for p, _, who in mine):
+            raise SituError("E208", f"{self.principal} may not use context {name}")
 
     # -- sources ------------------------------------------------------------------------------------------------
     def fetch_members(self, source: Provider, args: Mapping[str, str], planner: Planner) -> DataFrame:
         """A provider's members as (__k, __s)."""
         literal = lambda v: v[1:-1] if v[:1] == "'" else float(v) if v.replace(".", "", 1).isdigit() else v
         began = time.time()
+        if source.impl is None:
+            raise SituError("E204", f"provider {source.name} has no implementation", "register_mcp_provider gives it one")
         try:
             got = timed(lambda: source.impl.resolve(source.entity_type, {k: literal(v) for k, v in args.items()}, None), float(source.options.get("timeout", self.mcp_timeout)))
         except TimeoutError as e:
             if source.options.get("on_failure", self.mcp_timeout_mode) == "error":
                 raise RuntimeError(f"provider {source.name}: {e}") from e
             if source.options.get("on_failure", self.mcp_timeout_mode) == "warn":
-                self.diagnostics.append(Diagnostic("W003", f"provider {source.name}: {e}; it has no members"))
+                self.diagnostics.append(Diagnostic("W101", f"provider {source.name}: {e}; it has no members"))
             return self.spark.createDataFrame([], "__k string, __s double")
         if source.entity_type and got.entity_type and got.entity_type != source.entity_type:
             raise SituError("E302", f"provider {source.name} gives {got.entity_type}, not {source.entity_type}")
@@ -142,6 +150,8 @@ class Engine:
         provider, _, resource = name.partition(".")
         source = self.catalog.providers[provider]
         began = time.time()
+        if source.impl is None:
+            raise SituError("E204", f"provider {provider} has no implementation", "register_remote_provider gives it one")
         try:
             rows = timed(lambda: source.impl.query(resource, {}, [], None), float(source.options.get("timeout", self.remote_timeout)))
         except TimeoutError as e:
@@ -156,7 +166,7 @@ class Engine:
             return self.catalog.logs[name]
         found = [x for x in self.catalog.logs.values() if x.source.lower() in tables] or list(self.catalog.logs.values())
         if len(found) != 1:
-            raise SituError("E105" if found else "E130", "several event logs match" if found else "no event log is known")
+            raise SituError("E105" if found else "E202", "several event logs match" if found else "no event log is known")
         return found[0]
 
     # -- statements ---------------------------------------------------------------------------------------------
@@ -199,7 +209,7 @@ class Engine:
         first = parts[0].up
         if first in ("SELECT", "WITH", "(", "VALUES"):
             df, plan, planner = self._plan(parts)
-            self.diagnostics += [d for d in linter.lint(render(parts), self.catalog) if d.code != "E108"]
+            self.diagnostics += [d for d in linter.lint(render(parts), self.catalog) if d.code not in ("E107", "E108")]
             return Result(df, sql, plan, list(self.diagnostics), planner.trace)
         df = run_ddl(self, parts)
         previous = self.catalog.audit[-1][-1] if self.catalog.audit else ""

@@ -21,6 +21,35 @@ def traces(events: DataFrame, log: EventLog) -> DataFrame:
     return rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "activity", "resource"))).alias("trace"))
 
 
+def times(events: DataFrame, log: EventLog, columns: dict[str, str]) -> DataFrame:
+    """One row for each case: case_id and aggregates of its events (ts, activity), which are summed up where they lie."""
+    rows = events.select(F.col(log.case).alias("case_id"), F.col(log.timestamp).alias("ts"), F.col(log.activity).cast("string").alias("activity"))
+    rows = rows.where("case_id is not null and ts is not null and activity is not null")
+    return rows.groupBy("case_id").agg(*[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+def short(name: str, t: str, args: list[str], columns: dict[str, str]) -> str | None:
+    """The SQL of a function that needs no whole trace, over the aggregates that it adds to ``columns``; else None."""
+
+    def need(sql: str) -> str:
+        found = next((c for c, s in columns.items() if s == sql), f"a{len(columns)}")
+        columns[found] = sql
+        return f"{t}.{found}"
+
+    if name in ("CASE_START", "CASE_END"):
+        return need("min(ts)" if name == "CASE_START" else "max(ts)")
+    if name == "THROUGHPUT_TIME":
+        return f"({need('max(ts)')} - {need('min(ts)')})"
+    if name == "ACTIVITY_COUNT":
+        return f"coalesce(CAST({need('count(*)')} AS INT), 0)"
+    if name == "THROUGHPUT_TIME_BETWEEN" and all(a[:1] == "'" for a in args):
+        first, last = (need(f"min(ts) FILTER (WHERE activity = {a})") for a in args)
+        return f"({last} - {first})"
+    if name == "REWORK_COUNT" and args[0][:1] == "'":
+        return f"CAST(IF({t}.case_id IS NULL, NULL, greatest({need(f'count(*) FILTER (WHERE activity = {args[0]})')} - 1, 0)) AS INT)"
+    return None
+
+
 def literal(text: str) -> str:
     """A SQL string."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -37,7 +66,7 @@ def path_regex(pattern: str) -> str:
 def path_contains(t: str, pattern: str) -> str:
     """Whether the trace has the pattern."""
     framed = f"array_join(transform({t}.trace, e -> concat('\\n', e.activity, '\\n')), '')"
-    return f"({t}.trace IS NOT NULL AND {framed} RLIKE {literal(path_regex(pattern))})"
+    return f"IF({t}.trace IS NULL, NULL, {framed} RLIKE {literal(path_regex(pattern))})"
 
 
 def acts(t: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Context
 from ..errors import SituError
+from ..linter import family
 
 if TYPE_CHECKING:
     from ..engine import Engine
@@ -26,17 +27,18 @@ def body(engine: Engine, ctx: Context, args: dict[str, str], busy: tuple[str, ..
         return ctx.frame
     for name in args:
         if name.lower() not in {p.lower() for p in ctx.params}:
-            raise SituError("E110", f"context {ctx.name} has no parameter {name}")
+            raise SituError("E115", f"context {ctx.name} has no parameter {name}")
     values = {p.lower(): args.get(p, args.get(p.lower(), default)) for p, (_, default) in ctx.params.items()}
     if missing := [p for p, v in values.items() if v is None]:
-        raise SituError("E110", f"context {ctx.name} needs {', '.join(missing)}")
+        raise SituError("E206", f"context {ctx.name} needs {', '.join(missing)}")
     return engine.frame(ctx.body, params=values, busy=(*busy, ctx.name.lower()))
 
 
-def resolve(engine: Engine, ctx: Context, args: dict[str, str] | None = None, when: tuple | None = None, busy: tuple[str, ...] = ()) -> DataFrame:
-    """A context's members.  ``when`` is ("AT", t) or ("BETWEEN", a, b) in SQL, compared at the context's granularity."""
+def resolve(engine: Engine, ctx: Context, args: dict[str, str] | None = None, when: tuple | None = None, busy: tuple[str, ...] = (), unique: bool = True) -> DataFrame:
+    """A context's members, each key once if they are to be ``unique``.  ``when`` is ("AT", t) or ("BETWEEN", a, b) in SQL, compared at the context's granularity."""
     if ctx.name.lower() in busy:
-        raise SituError("E118", f"context {ctx.name} depends on itself")
+        raise SituError("E103", f"context {ctx.name} depends on itself")
+    engine.authorise("USE", ctx.name)
     if ctx.strategy:
         return composed(engine, ctx, args or {}, when, busy)
     if ctx.snapshot and not args and not when:
@@ -52,9 +54,13 @@ def resolve(engine: Engine, ctx: Context, args: dict[str, str] | None = None, wh
         mine = F.expr(f"date_trunc('{unit}', CAST(`{column}` AS TIMESTAMP_NTZ))")
         rows = rows.where(mine == at(when[1]) if when[0] == "AT" else (mine >= at(when[1])) & (mine <= at(when[2])))
     if ctx.key.lower() not in {c.lower() for c in rows.columns}:
-        raise SituError("E103", f"context {ctx.name} has no column {ctx.key}")
+        raise SituError("E114", f"context {ctx.name} has no column {ctx.key}")
     score = F.expr(ctx.score) if ctx.score else F.col(ctx.score_column) if ctx.score_column else F.lit(1.0)
-    return distinct(rows.select(F.col(ctx.key).alias("__k"), score.cast("double").alias("__s")))
+    found = rows.select(F.col(f"`{ctx.key}`").alias("__k"), score.alias("__s"))
+    if family(kind := found.schema["__s"].dataType.simpleString()) != "number":
+        raise SituError("E111", f"the score of context {ctx.name} is {kind}, not a number")
+    found = found.withColumn("__s", F.col("__s").cast("double"))
+    return distinct(found) if unique else found.where("__k is not null")
 
 
 def composed(engine: Engine, ctx: Context, args: dict[str, str], when: tuple | None, busy: tuple[str, ...]) -> DataFrame:
