@@ -45,6 +45,7 @@ class Context:
     snapshot: str | None = None  # the folder of its last refresh
     refreshed_at: float | None = None
     key_type: str = ""
+    parts: tuple[str, ...] = ()  # folders of members that batches have brought
 
     @property
     def scored(self) -> bool:

@@ -245,8 +245,7 @@ class Engine:
         """Writes a context's members to a new snapshot, which then serves it; returns the snapshot before."""
         ctx = self.catalog.contexts[name]
         before, ctx.snapshot = ctx.snapshot, None
-        folder = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder.rstrip('/')}/context-{ctx.name}-{uuid.uuid4().hex}"
+        path = self.shared_folder(f"context-{ctx.name}")
         ctx.state = "refreshing"
         resolve(self, ctx, dict(args or {})).write.parquet(path)
         ctx.snapshot, ctx.refreshed_at, ctx.state = path, time.time(), "active"
@@ -255,6 +254,16 @@ class Engine:
                 self.catalog.contexts[d].state = "stale"
         return before or ""
 
+    def shared_folder(self, name: str) -> str:
+        """A new folder below spark.checkpoint.dir, or where that is unset, below the warehouse of a local session."""
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            master = self.spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = self.spark.conf.get("spark.sql.warehouse.dir")
+        return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     def diff(self, name: str, before: str) -> DataFrame:
         """Keys that joined and left a context since an earlier snapshot."""
         now, old = self.members(name), self.spark.read.parquet(before)

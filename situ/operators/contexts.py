@@ -41,6 +41,8 @@ def resolve(engine: Engine, ctx: Context, args: dict[str, str] | None = None, wh
     engine.authorise("USE", ctx.name)
     if ctx.strategy:
         return composed(engine, ctx, args or {}, when, busy)
+    if ctx.parts and not args and not when:
+        return distinct(engine.spark.read.parquet(*ctx.parts).select("__k", "__s"))
     if ctx.snapshot and not args and not when:
         return engine.spark.read.parquet(ctx.snapshot)
     rows = body(engine, ctx, args or {}, busy)

@@ -28,7 +28,7 @@ def engine(spark: SparkSession, sf_dir: str, **more) -> Engine:
     for s in ("UNION", "INTERSECT", "WEIGHTED"):
         e.execute(f"CREATE CONTEXT mix_{s.lower()} AS COMPOSE (open_order WEIGHT 0.5, big_order WEIGHT 2.0) WITH STRATEGY {s}")
     e.register_identity_map({"orders.o_orderkey": "lineitem.l_orderkey", "orders.o_custkey": "customer.c_custkey"})
-    e.register_mcp_provider("watch", ScoreThresholdProvider({k: (250 + (k * 137) % 24000) / 24250.0 for k in range(1, 241)}, "order"), entity_type="order", entity_key="o_orderkey")
+    e.register_mcp_provider("watch", ScoreThresholdProvider({k: (k * 7919 % 1009) / 1008.0 for k in range(1, 301)}, "order"), entity_type="order", entity_key="o_orderkey")
     e.register_remote_provider("desk", RowsProvider({"issues": [{"issue_order": i, "priority": ("low", "high")[i % 2]} for i in range(1, 241)]}))
     e.register_event_log("clicks", "events", case="user_id", activity="event_type", timestamp="ts")
     e.execute("CREATE PROCESS MODEL visit EXPECTED PATH ('view', 'click', 'purchase') EXPECTED PATH ('click', 'view', 'error')")
@@ -40,7 +40,7 @@ _CTX = """open_order AS (SELECT o_orderkey AS k, 1.0::DOUBLE AS s FROM orders WH
 big_order AS (SELECT o_orderkey AS k, o_totalprice / 500000.0 AS s FROM orders WHERE o_totalprice >= 400000),
 debtor AS (SELECT c_custkey AS k, -c_acctbal / 1000.0 AS s FROM customer WHERE c_acctbal < 0),
 late_line AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'),
-watch AS (SELECT i AS k, (250 + (i * 137) % 24000) / 24250.0 AS s FROM range(1, 241) t(i) WHERE (250 + (i * 137) % 24000) / 24250.0 >= 0.5)"""
+watch AS (SELECT i AS k, (i * 7919 % 1009) / 1008.0 AS s FROM range(1, 301) t(i) WHERE (i * 7919 % 1009) / 1008.0 >= 0.5)"""
 _OB = f"""WITH {_CTX}, j AS (SELECT o.*, a.k IS NOT NULL AS ma, b.k IS NOT NULL AS mb, a.s AS sa, b.s AS sb
 FROM orders o LEFT JOIN open_order a ON o.o_orderkey = a.k LEFT JOIN big_order b ON o.o_orderkey = b.k)"""
 _T = "o_orderkey, o_custkey, o_totalprice"
@@ -62,6 +62,14 @@ def _round(column: str, name: str, places: int = 6) -> str:
     return f"round({column}, {places}) AS {name}"
 
 
+def _same(text: str, *types: tuple[str, str]) -> tuple[str, str]:
+    """A statement that both engines read alike, but for parts whose type is another."""
+    oracle = text
+    for a, b in types:
+        oracle = oracle.replace(a, b)
+    return text, oracle
+
+
 def _using(strategy: str, oracle: str) -> tuple[str, str]:
     return (
         f"SELECT o_orderkey FROM orders WHERE CONTEXT IN (open_order WEIGHT 0.5, big_order WEIGHT 2.0) ORDER BY CONTEXT USING {strategy} DESC, o_orderkey LIMIT 40",
@@ -104,7 +112,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "c_multi_entity": (f"SELECT {_T}, round(CONTEXT_SCORE(), 6) AS score FROM orders WHERE CONTEXT IN (debtor)", f"WITH {_CTX} SELECT {_T}, round(s, 6) AS score FROM orders JOIN debtor ON k = o_custkey"),
     "c_mcp": ("SELECT o_orderkey, round(CONTEXT_SCORE(), 6) AS score FROM orders WHERE CONTEXT IN (MCP(watch))", f"WITH {_CTX} SELECT o_orderkey, round(s, 6) AS score FROM orders JOIN watch ON k = o_orderkey"),
     "c_mcp_weight": ("SELECT o_orderkey, round(CONTEXT_SCORE(), 6) AS score FROM orders WHERE CONTEXT IN (MCP(watch) WEIGHT 0.5, big_order WEIGHT 2.0)", f"WITH {_CTX} SELECT o_orderkey, round(0.5 * coalesce(w.s, 0) + 2 * coalesce(b.s, 0), 6) AS score FROM orders LEFT JOIN watch w ON w.k = o_orderkey LEFT JOIN big_order b ON b.k = o_orderkey WHERE w.k IS NOT NULL OR b.k IS NOT NULL"),
-    "c_mcp_param": ("SELECT o_orderkey FROM orders WHERE CONTEXT IN (MCP(watch, threshold := 0.9))", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 1 AND 240 AND (250 + (o_orderkey * 137) % 24000) / 24250.0 >= 0.9"),
+    "c_mcp_param": ("SELECT o_orderkey FROM orders WHERE CONTEXT IN (MCP(watch, threshold := 0.9))", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 1 AND 300 AND (o_orderkey * 7919 % 1009) / 1008.0 >= 0.9"),
     "c_remote_join": ("SELECT o.o_orderkey, r.priority FROM orders o JOIN REMOTE(desk.issues) AS r ON o.o_orderkey = r.issue_order WHERE CONTEXT ON o IN (open_order)", f"WITH {_CTX} SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'high' ELSE 'low' END AS priority FROM orders JOIN open_order ON k = o_orderkey WHERE o_orderkey BETWEEN 1 AND 240"),
     "c_remote_scan": ("SELECT priority, COUNT(*) AS n FROM REMOTE(desk.issues) AS r GROUP BY priority", "SELECT p AS priority, 120 AS n FROM (VALUES ('low'), ('high')) t(p)"),
     "c_param": ("SELECT o_orderkey FROM orders WHERE CONTEXT IN (above(t := 420000))", "SELECT o_orderkey FROM orders WHERE o_totalprice > 420000"),
@@ -120,7 +128,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "s_project": ("SELECT o_orderkey, o_totalprice * 2 + 1 AS x, o_custkey % 7 AS m, -o_custkey AS neg FROM orders", "SELECT o_orderkey, o_totalprice * 2 + 1 AS x, o_custkey % 7 AS m, -o_custkey AS neg FROM orders"),
     "s_filter": ("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND NOT o_orderstatus = 'F' OR o_custkey <= 10", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND NOT o_orderstatus = 'F' OR o_custkey <= 10"),
     "s_case": ("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice BETWEEN 100000 AND 300000 THEN 'middle' ELSE 'small' END AS size FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_totalprice BETWEEN 100000 AND 300000 THEN 'middle' ELSE 'small' END AS size FROM orders"),
-    "s_cast": ("SELECT o_orderkey, CAST(o_totalprice / 1000 AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS t FROM orders", "SELECT o_orderkey, CAST(round(o_totalprice / 1000) AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS t FROM orders"),
+    "s_cast": ("SELECT o_orderkey, CAST(o_totalprice / 1000 AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS t FROM orders", "SELECT o_orderkey, CAST(o_totalprice / 1000 AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS t FROM orders"),
     "s_concat": ("SELECT c_custkey, c_name || '/' || UPPER(c_mktsegment) AS tag FROM customer", "SELECT c_custkey, c_name || '/' || upper(c_mktsegment) AS tag FROM customer"),
     "s_like": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_name NOT LIKE '%9'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_name NOT LIKE '%9'"),
     "s_in": ("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'F') AND o_custkey NOT IN (1, 2, 3)", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('P', 'F') AND o_custkey NOT IN (1, 2, 3)"),
@@ -161,6 +169,27 @@ SQL: dict[str, tuple[str, str | None]] = {
     "s_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey AS k FROM region", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region"),
     "s_functions": ("SELECT c_custkey, LEN(c_name) AS n, STRPOS(c_name, '0') AS p, SUBSTRING(c_name, 1, 4) AS s, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), '-') AS m, GREATEST(c_acctbal, 0) AS g, ABS(c_acctbal) AS a FROM customer", "SELECT c_custkey, len(c_name)::INT AS n, strpos(c_name, '0')::INT AS p, substring(c_name, 1, 4) AS s, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS m, greatest(c_acctbal, 0) AS g, abs(c_acctbal) AS a FROM customer"),
     "s_dates": ("SELECT o_orderkey, YEAR(o_orderdate) AS y, DATE_TRUNC('month', o_orderdate) = TIMESTAMP_NTZ '1996-03-01 00:00:00' AS m FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-01-01' + INTERVAL '100' DAY", "SELECT o_orderkey, year(o_orderdate)::INT AS y, date_trunc('month', o_orderdate) = TIMESTAMP '1996-03-01' AS m FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-01-01' + INTERVAL 100 DAY"),
+    "s_cast2": _same("SELECT n_nationkey, CAST(n_nationkey / 2.0 AS INTEGER) AS a, CAST(n_nationkey * 0.25E0 - 3.5E0 AS BIGINT) AS b, CAST('9007199254740993' AS BIGINT) AS c, CAST(n_nationkey > 5 AS INTEGER) AS d, (n_nationkey * 0.5E0)::SMALLINT AS e, TRY_CAST(n_name AS INTEGER) AS f, n_nationkey::VARCHAR || '!' AS g, CAST('7' AS INT) + 1 AS h FROM nation"),
+    "s_strings2": _same("SELECT c_custkey, STRING_SPLIT(c_name, '#')[2] AS a, REGEXP_REPLACE(c_name, '[0-9]', 'x') AS b, REGEXP_REPLACE(c_name, '([0-9])0', '<\\1>', 'g') AS c, REGEXP_EXTRACT(c_name, '[0-9]+') AS d, REGEXP_EXTRACT(c_name, '(0+)([1-9]+)', 2) AS e, CONCAT(c_name, NULL, '/', c_mktsegment) AS f, 'a\\b' || c_mktsegment AS g, SPLIT_PART(c_mktsegment, 'I', 1) AS h, LPAD(c_mktsegment, 12, '*') AS i, REVERSE(c_mktsegment) AS j, STARTS_WITH(c_mktsegment, 'AU') AS k, CONTAINS(c_mktsegment, 'UI') AS l, 'it''s' AS m, REPLACE(c_mktsegment, 'U', '$1') AS n, REGEXP_MATCHES(c_name, '[89]$') AS o FROM customer"),
+    "s_dates2": _same("SELECT o_orderkey, DAYOFWEEK(o_orderdate) AS a, ISODOW(o_orderdate) AS b, STRFTIME(o_orderdate, '%Y/%m/%d at %H:%M') AS c, DATE_DIFF('month', o_orderdate, TIMESTAMP '1998-12-01 00:00:00') AS d, DATE_DIFF('day', o_orderdate, TIMESTAMP '1998-12-01 00:00:00') AS e, DATE_PART('dow', o_orderdate) AS f, EPOCH(o_orderdate) AS g, MONTHNAME(o_orderdate) AS h, QUARTER(o_orderdate) AS i, EXTRACT(DAY FROM o_orderdate) AS j, DAYNAME(o_orderdate) AS k, EPOCH_MS(o_orderdate) AS l, DATE_SUB('year', o_orderdate, TIMESTAMP '1998-12-01 00:00:00') AS m, WEEKOFYEAR(o_orderdate) AS n, STRPTIME('03.02.1997', '%d.%m.%Y') < o_orderdate AS o FROM orders"),
+    "s_math2": _same("SELECT n_nationkey, round(LOG(n_nationkey + 1), 9) AS a, round(LN(n_nationkey + 1), 9) AS b, n_nationkey // 7 AS c, n_nationkey ** 2 AS d, XOR(n_nationkey, 5) AS e, TRUNC(n_nationkey * 0.3E0 - 2) AS f, POW(n_nationkey, 0.5) AS g, n_nationkey % 4 AS h, round(LOG2(n_nationkey + 1), 9) AS i, SIGN(n_nationkey - 3) AS j, FLOOR(n_nationkey / 7.0) AS k , 2 ** -1 AS m FROM nation"),
+    "s_lists": _same("SELECT n_regionkey, LEN(n_name) AS a, [n_nationkey, 7, NULL][2] AS b, ARRAY_LENGTH(RANGE(n_nationkey)) AS c, LIST_SUM(RANGE(2, n_nationkey)) AS d, LIST_CONTAINS([1, 2, n_nationkey], 9) AS e, LIST_MAX(GENERATE_SERIES(1, n_nationkey)) AS f, LIST_POSITION([5, 6, 7], 6) AS g, ARRAY_LENGTH(LIST_DISTINCT([1, 1, n_regionkey])) AS h FROM nation WHERE n_nationkey > 2", ("LIST_SUM(RANGE(2, n_nationkey))", "list_sum(range(2, n_nationkey))::DOUBLE")),
+    "s_aggregates2": _same("SELECT n_regionkey, MEDIAN(n_nationkey) AS a, QUANTILE_CONT(n_nationkey, 0.25) AS b, QUANTILE_DISC(n_nationkey, 0.5) AS c, ARRAY_LENGTH(LIST(NULLIF(n_nationkey, 3))) AS d, BOOL_OR(n_nationkey > 20) AS e, ARG_MAX(n_name, n_nationkey) AS f, VAR_POP(n_nationkey) AS g, COUNT_IF(n_nationkey > 9) AS h, ANY_VALUE(NULLIF(n_regionkey, n_regionkey)) AS i, PRODUCT(n_nationkey + 1) AS j, COUNT(*) FILTER (WHERE n_nationkey > 9) AS k FROM nation GROUP BY n_regionkey", ("QUANTILE_DISC(n_nationkey, 0.5)", "quantile_disc(n_nationkey, 0.5)::DOUBLE")),
+    "s_within_group": _same("SELECT o_orderstatus, PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS m FROM orders GROUP BY o_orderstatus"),
+    "s_rollup": _same("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
+    "s_qualify": _same("SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 100000 QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"),
+    "c_qualify": ("SELECT o_custkey, o_orderkey FROM orders WHERE CONTEXT IN (open_order) QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", f"{_OB} SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM j) WHERE rn = 1 AND ma"),
+    "s_win_named": _same("SELECT o_orderkey, RANK() OVER w AS r, SUM(o_shippriority) OVER w AS s FROM (SELECT o_orderkey, o_custkey, o_orderdate, 1 AS o_shippriority FROM orders) AS x WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
+    "s_win_more": _same("SELECT o_orderkey, round(PERCENT_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 9) AS a, round(CUME_DIST() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 9) AS b, LAST_VALUE(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c, NTH_VALUE(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d FROM orders"),
+    "s_pareto": ("SELECT c_custkey, round(PARETO_SUM(c_acctbal), 6) AS share FROM customer WHERE c_acctbal > 0", "SELECT c_custkey, round(sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey ROWS UNBOUNDED PRECEDING) / sum(c_acctbal) OVER (), 6) AS share FROM customer WHERE c_acctbal > 0"),
+    "s_cte_nested": _same("WITH a AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey > 3) SELECT x.r_name, y.n_nationkey FROM (WITH b AS (SELECT r_regionkey, r_name FROM region) SELECT b.r_regionkey, b.r_name FROM b JOIN a ON b.r_regionkey = a.n_nationkey - 3) AS x JOIN (SELECT n_nationkey, n_regionkey FROM a) AS y ON x.r_regionkey = y.n_regionkey"),
+    "s_using": _same("SELECT a.o_orderkey, b.n FROM orders AS a JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS b USING (o_custkey) WHERE a.o_custkey < 100"),
+    "s_case_simple": _same("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS k FROM orders"),
+    "s_values": _same("SELECT 1 + 1 AS two, 'a' || 'b' AS ab"),
+    "s_zero": ("SELECT n_nationkey, n_regionkey / n_nationkey AS q, n_regionkey % (n_nationkey - 1) AS m FROM nation", "SELECT n_nationkey, n_regionkey / nullif(n_nationkey, 0) AS q, n_regionkey % nullif(n_nationkey - 1, 0) AS m FROM nation"),
+    "s_star": _same("SELECT * FROM nation"),
+    "c_all_score": ("SELECT o_orderkey, round(CONTEXT_SCORE(), 6) AS score FROM orders WHERE CONTEXT IN ALL (open_order, big_order WEIGHT 3.0)", f"{_OB} SELECT o_orderkey, round(sa + 3 * sb, 6) AS score FROM j WHERE ma AND mb"),
+    "c_then_score": ("SELECT o_orderkey, round(CONTEXT_SCORE(), 4) AS score, CONTEXT_COUNT() AS n FROM orders WHERE CONTEXT IN (open_order THEN big_order)", f"{_OB} SELECT o_orderkey, round(sa + sb, 4) AS score, 2 AS n FROM j WHERE ma AND mb"),
     "p_throughput": (f"SELECT u.user_id, unix_micros(TIMESTAMP '1970-01-01 00:00:00' + THROUGHPUT_TIME(u.user_id)) AS us FROM {_CASES}", f"{_TRACE} SELECT user_id, epoch_us(last) - epoch_us(first) AS us FROM t"),
     "p_between": (f"SELECT u.user_id, unix_micros(TIMESTAMP '1970-01-01 00:00:00' + THROUGHPUT_TIME_BETWEEN(u.user_id, 'view', 'purchase') USING EVENT LOG clicks) AS us FROM {_CASES}", f"{_TRACE} SELECT user_id, epoch_us(p) - epoch_us(v) AS us FROM t"),
     "p_path": (f"SELECT u.user_id, PATH_STRING(u.user_id) AS path FROM {_CASES}", f"{_TRACE} SELECT user_id, path FROM t"),
@@ -204,6 +233,18 @@ def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.execute("SELECT * FROM CLUSTER((SELECT vec_id, embedding FROM embeddings), K := 8) AS c").df
 
 
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each vector is with the centre that is nearest to it: centres are the means of their clusters."""
+    found = _cluster(spark, sf_dir).where("cluster_id is not null")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(found, F.col("vec_id") == F.col("entity_id")).select("vec_id", "cluster_id", "distance", F.posexplode("embedding").alias("i", "x"))
+    centres = rows.groupBy("cluster_id", "i").agg(F.avg("x").alias("c"))
+    near = rows.join(F.broadcast(centres.withColumnRenamed("cluster_id", "other")), "i")  # as many rows as centres have coordinates
+    near = near.groupBy("vec_id", "cluster_id", "other").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) ** 2)).alias("d"), F.max("distance").alias("distance"))
+    own = F.max(F.when(F.col("other") == F.col("cluster_id"), F.col("d")))
+    # After 20 steps centres may still move a little.
+    return near.groupBy("vec_id").agg((own > F.min("d") + 0.05).cast("int").alias("wrong"))
+
+
 def _ddl(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).execute(text).df
 
@@ -216,13 +257,23 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.register_context("buyer", "SELECT user_id, value AS s FROM events WHERE event_type = 'purchase'", entity_key="user_id", score_column="s", has_score=True)
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where("event_type = 'purchase'").select("user_id", "value")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    import uuid
-
-    maintain(e, "buyer", stream, f"{base}/stream-{uuid.uuid4().hex}").awaitTermination()
+    maintain(e, "buyer", stream, e.shared_folder("stream")).awaitTermination()
     return e.execute("SELECT DISTINCT user_id, round(CONTEXT_SCORE(), 6) AS score FROM events WHERE CONTEXT IN (buyer)").df
 
 
+def _advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context brought forward twice by a high-water mark; the second time sees the rows above the first one's."""
+    from ..streaming.refresh import advance
+
+    e = engine(spark, sf_dir)
+    e.register_context("buyer", "SELECT user_id, value AS s FROM events WHERE event_type = 'purchase'", entity_key="user_id", score_column="s", has_score=True)
+    rows = spark.table("events").where("event_type = 'purchase'").select("user_id", "value", "event_id")
+    folder = e.shared_folder("advance")
+    for some in (rows.where("event_id < 3000"), rows):
+        advance(e, "buyer", some, "event_id", folder)
+    return e.members("buyer").select(F.col("__k").alias("user_id"), F.round("__s", 6).alias("score"))
+
+
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "c_score_algebra": (_algebra, f"{_OB} SELECT o_orderkey, round(least(greatest(sa, sb), d.s), 6) AS score FROM j JOIN debtor d ON d.k = o_custkey WHERE ma OR mb"),
     "t_histogram": (
@@ -231,13 +282,21 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "t_pareto": (_pareto, "SELECT c_custkey, round(sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey ROWS UNBOUNDED PRECEDING) / sum(c_acctbal) OVER (), 6) AS share FROM customer WHERE c_acctbal > 0"),
     "t_cluster": (_cluster, None),
+    "t_cluster_nearest": (
+        _nearest,
+        "SELECT vec_id, 0 AS wrong FROM embeddings WHERE embedding IS NOT NULL",
+    ),
+    "d_alter": (_ddl("ALTER CONTEXT open_order RENAME TO still_open; ALTER CONTEXT still_open SET DESCRIPTION 'not shipped'; ALTER CONTEXT still_open SET TAGS ('a', 'b'); SHOW CONTEXTS WHERE name = 'still_open'"), "SELECT 'still_open' AS name, 'o_orderkey' AS entity_key, false AS has_score, false AS is_temporal, 'active' AS state, '' AS classification, 'not shipped' AS description, 'a,b' AS tags, '' AS depends_on"),
+    "d_drop": (_ddl("DROP CONTEXT big_order CASCADE; DROP EVENT LOG clicks; DROP PROCESS MODEL visit; SHOW CONTEXTS WHERE NOT is_temporal"), "SELECT * FROM (VALUES ('above', 'o_orderkey', false), ('debtor', 'c_custkey', true), ('late_line', 'l_orderkey', false), ('open_order', 'o_orderkey', false)) t(name, entity_key, has_score), (SELECT false AS is_temporal, 'active' AS state, '' AS classification, '' AS description, '' AS tags, '' AS depends_on)"),
+    "d_alter_log": (_ddl("ALTER EVENT LOG clicks ADD ATTRIBUTES ('value', 'props'); ALTER EVENT LOG clicks DROP ATTRIBUTES ('props'); ALTER EVENT LOG clicks SET DESCRIPTION 'visits'; DESCRIBE EVENT LOG clicks"), "SELECT 'clicks' AS name, 'events' AS source, 'user_id' AS case_column, 'event_type' AS activity_column, 'ts' AS timestamp_column, NULL::VARCHAR AS resource_column, 'value' AS attributes, 'visits' AS description"),
     "d_show_contexts": (_ddl("SHOW CONTEXTS LIKE 'mix%'"), "SELECT * FROM (VALUES ('mix_intersect', 'o_orderkey', true, false, 'active', '', '', '', 'open_order,big_order'), ('mix_union', 'o_orderkey', true, false, 'active', '', '', '', 'open_order,big_order'), ('mix_weighted', 'o_orderkey', true, false, 'active', '', '', '', 'open_order,big_order')) t(name, entity_key, has_score, is_temporal, state, classification, description, tags, depends_on)"),
-    "d_describe": (_ddl("DESCRIBE CONTEXT above"), None),
+    "d_describe": (_ddl("DESCRIBE CONTEXT above"), "SELECT unnest(['name', 'entity_key', 'definition', 'score', 'temporal', 'parameters', 'state', 'description', 'tags', 'classification', 'depends_on', 'snapshot']) AS property, unnest(['above', 'o_orderkey', 'SELECT o_orderkey FROM orders WHERE o_totalprice > : t', '', '', 't DOUBLE', 'active', '', '', '', '', '']) AS value"),
     "d_explain_context": (_ddl("EXPLAIN CONTEXT mix_union"), f"WITH {_CTX} SELECT * FROM (SELECT 'open_order' AS context, k::VARCHAR AS entity_key, s AS score, true AS member FROM open_order UNION ALL SELECT 'big_order', k::VARCHAR, s, true FROM big_order UNION ALL SELECT 'mix_union', k::VARCHAR, max(s), true FROM (SELECT * FROM open_order UNION ALL SELECT * FROM big_order) GROUP BY k)"),
     "d_show_models": (_ddl("SHOW PROCESS MODELS"), "SELECT 'visit' AS name, NULL::VARCHAR AS event_log, 2 AS n_paths, 'view -> click -> purchase; click -> view -> error' AS paths"),
-    "d_show_logs": (_ddl("SHOW EVENT LOGS"), None),
+    "d_show_logs": (_ddl("SHOW EVENT LOGS"), "SELECT 'clicks' AS name, 'events' AS source, 'user_id' AS case_column, 'event_type' AS activity_column, 'ts' AS timestamp_column, NULL::VARCHAR AS resource_column, '' AS attributes, '' AS description"),
     "d_validate": (_ddl("VALIDATE CONTEXT mix_weighted"), "SELECT 'ok' AS status, 'valid' AS message"),
     "d_refresh": (lambda spark, d: (lambda e: (e.execute("REFRESH CONTEXT big_order"), e.members("big_order").select(F.col("__k").alias("k"), F.round("__s", 6).alias("s")))[1])(engine(spark, d)), "SELECT o_orderkey AS k, round(o_totalprice / 500000.0, 6) AS s FROM orders WHERE o_totalprice >= 400000"),
+    "x_advance": (_advance, "SELECT user_id, round(max(value), 6) AS score FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND event_id IS NOT NULL GROUP BY user_id"),
     "x_stream_refresh": (_stream, "SELECT user_id, round(max(value), 6) AS score FROM events WHERE event_type = 'purchase' GROUP BY user_id"),
 }
 

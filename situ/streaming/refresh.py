@@ -1,35 +1,87 @@
-"""Contexts over streams: each micro-batch adds to a context's snapshot, which is then swapped in whole."""
+"""Contexts that grow: by a stream's micro-batches, or by the rows above a high-water mark.
+
+A context's members lie in a folder as parts, one for each batch, named by its number.  Every so many batches all parts
+become a base.  A part or base counts once it is whole, so what a failed batch left is not seen, and a batch that is run
+again writes its part again.  Which parts there are is read from the folder, so a new session goes on where the last one
+stopped.
+"""
 
 from __future__ import annotations
 
-import uuid
+import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
 from ..operators.contexts import distinct
 
+#: Batches after which parts become a base.
+COMPACT = 16
+
+
+def parts(spark: SparkSession, folder: str, below: int | None = None) -> list[str]:
+    """The newest whole base and the whole parts after it, up to the batch before ``below``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "part": []}
+    for status in fs.listStatus(at) if fs.exists(at) else ():
+        m = re.fullmatch(r"(base|part)-(\d+)", status.getPath().getName())
+        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (below is None or int(m[2]) < below):
+            found[m[1]].append(int(m[2]))
+    base = max(found["base"], default=-1)
+    return [f"{folder}/base-{base}"] * (base >= 0) + [f"{folder}/part-{n}" for n in sorted(found["part"]) if n > base]
+
+
+def _add(engine: Engine, name: str, rows: DataFrame, number: int, folder: str) -> None:
+    """Writes a batch (__k, __s and what else is to be kept) as a part and lets the context see it."""
+    spark = engine.spark
+    rows.write.mode("overwrite").parquet(f"{folder}/part-{number}")
+    if number % COMPACT == COMPACT - 1:
+        every = spark.read.parquet(*parts(spark, folder))
+        rest = [F.max(c).alias(c) for c in every.columns if c not in ("__k", "__s")]
+        every.where("__k is not null").groupBy("__k").agg(F.max("__s").alias("__s"), *rest).write.mode("overwrite").parquet(f"{folder}/base-{number}")
+    engine.catalog.contexts[name].parts = tuple(parts(spark, folder))
 
-def maintain(engine: Engine, name: str, stream: DataFrame, folder: str, interval: str | None = None) -> StreamingQuery:
+
+def resume(engine: Engine, name: str, folder: str) -> None:
+    """Lets a context see the members that an earlier session has kept in the folder."""
+    engine.catalog.contexts[name].parts = tuple(parts(engine.spark, folder))
+
+
+def maintain(engine: Engine, name: str, stream: DataFrame, folder: str, interval: str | None = None, ranking: int | None = None, publish: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Keeps the context ``name`` at all members that a stream of (key, score) has brought; a key's score is its
     largest.  ``interval`` such as "1 second" runs on; without, what is there is read once.
 
-    Each batch is merged with the snapshot by one aggregation on the key and written as a new version before the catalog
-    points to it, so readers see whole versions and a batch that is run again changes nothing.
+    Each batch is reduced to one row for each key and written as a part.  After each batch ``publish`` is given the
+    ``ranking`` members with the highest scores (ties by key): a live ranking.
     """
-    ctx = engine.catalog.contexts[name]
     key, *score = stream.columns
     typed = stream.selectExpr(f"`{key}` AS __k", f"CAST(`{score[0]}` AS DOUBLE) AS __s" if score else "1.0D AS __s")
+    resume(engine, name, f"{folder}/members")
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        now = distinct(batch)
-        if ctx.snapshot:
-            now = distinct(now.union(session.read.parquet(ctx.snapshot)))
-        path = f"{folder}/version-{number}-{uuid.uuid4().hex[:8]}"
-        now.write.parquet(path)
-        ctx.snapshot = path
+        _add(engine, name, distinct(batch), number, f"{folder}/members")
+        if publish:
+            publish(engine.preview(name, ranking or 20))
 
     writer = typed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def advance(engine: Engine, name: str, rows: DataFrame, mark: str, folder: str) -> int:
+    """Adds to the context ``name`` the members among the rows (key, score or not, and the column ``mark``) whose mark is
+    above the highest one so far, and returns their number.  Rows of equal mark must come together; null marks never."""
+    spark = engine.spark
+    key, *score = [c for c in rows.columns if c != mark]
+    known = parts(spark, folder)
+    highest = spark.read.parquet(*known).agg(F.max("__mark")).first()[0] if known else None
+    fresh = rows.where(F.col(mark).isNotNull())
+    fresh = fresh if highest is None else fresh.where(F.col(mark) > F.lit(highest))
+    new = fresh.select(F.col(f"`{key}`").alias("__k"), (F.col(f"`{score[0]}`").cast("double") if score else F.lit(1.0)).alias("__s"), F.col(mark).alias("__mark"))
+    new = new.where("__k is not null").groupBy("__k").agg(F.max("__s").alias("__s"), F.max("__mark").alias("__mark"))
+    number = max((int(p.rpartition("-")[2]) for p in known), default=-1) + 1
+    _add(engine, name, new, number, folder)
+    return spark.read.parquet(f"{folder}/part-{number}").count()

@@ -13,12 +13,12 @@ from situ import Engine, Membership, RowsProvider, ScoreThresholdProvider, SituE
 @pytest.fixture
 def e(spark):
     e = Engine(spark)
-    invoices = [(1, 10, 100, "open"), (2, 11, 500, "open"), (3, 10, 200, "paid"), (4, 12, 800, "open"), (5, 11, 50, "open")]
-    e.register_table("invoices", spark.createDataFrame(invoices, "invoice_id long, vendor_id long, amount long, status string"), primary_key="invoice_id", alias="i")
-    e.register_table("vendors", spark.createDataFrame([(10, "Alpha", 0.2), (11, "Beta", 0.9), (12, "Gamma", 0.8)], "vendor_id long, vendor_name string, risk_score double"), primary_key="vendor_id")
-    e.register_context("open_invoice", "SELECT invoice_id FROM invoices WHERE status = 'open'", entity_key="invoice_id")
-    e.register_context("high_value", "SELECT invoice_id, amount / 1000.0 AS s FROM invoices WHERE amount >= 300;", entity_key="invoice_id", has_score=True, score_column="s")
-    e.register_context("risky_vendor", "SELECT vendor_id, risk_score FROM vendors WHERE risk_score >= 0.7", entity_key="vendor_id", has_score=True, score_column="risk_score")
+    parcels = [(11, 1, 700, "transit"), (12, 2, 90, "transit"), (13, 3, 450, "handed"), (14, 1, 60, "handed"), (15, 2, 950, "transit"), (16, 3, 300, "transit")]
+    e.register_table("parcels", spark.createDataFrame(parcels, "parcel_id long, depot_id long, grams long, stage string"), primary_key="parcel_id", alias="p")
+    e.register_table("depots", spark.createDataFrame([(1, "Ahlen", 0.4), (2, "Brake", 0.75), (3, "Celle", 0.95)], "depot_id long, city string, load double"), primary_key="depot_id")
+    e.register_context("moving", "SELECT parcel_id FROM parcels WHERE stage = 'transit'", entity_key="parcel_id")
+    e.register_context("heavy", "SELECT parcel_id, grams / 1000.0 AS s FROM parcels WHERE grams >= 400;", entity_key="parcel_id", has_score=True, score_column="s")
+    e.register_context("busy_depot", "SELECT depot_id, load FROM depots WHERE load >= 0.7", entity_key="depot_id", has_score=True, score_column="load")
     return e
 
 
@@ -29,40 +29,40 @@ def ids(result):
 @pytest.mark.parametrize(
     "where,want",
     [
-        ("CONTEXT IN (open_invoice)", {1, 2, 4, 5}), ("CONTEXT NOT IN (open_invoice)", {3}), ("amount > 400 AND CONTEXT IN (open_invoice)", {2, 4}),
-        ("CONTEXT IN ALL (open_invoice, high_value)", {2, 4}), ("CONTEXT IN (open_invoice THEN high_value)", {2, 4}), ("CONTEXT IN (high_value) OR amount < 60", {2, 4, 5}),
-        ("NOT CONTEXT IN (high_value)", {1, 3, 5}), ("amount BETWEEN 60 AND 300 AND CONTEXT IN (open_invoice)", {1}), ("CONTEXT IN (open_invoice) AND NOT (CONTEXT IN (high_value) OR amount = 50)", {1}),
+        ("CONTEXT IN (moving)", {11, 12, 15, 16}), ("CONTEXT NOT IN (moving)", {13, 14}), ("grams > 400 AND CONTEXT IN (moving)", {11, 15}),
+        ("CONTEXT IN ALL (moving, heavy)", {11, 15}), ("CONTEXT IN (moving THEN heavy)", {11, 15}), ("CONTEXT IN (heavy) OR grams < 80", {11, 13, 14, 15}),
+        ("NOT CONTEXT IN (heavy)", {12, 14, 16}), ("grams BETWEEN 60 AND 300 AND CONTEXT IN (moving)", {12, 16}), ("CONTEXT IN (moving) AND NOT (CONTEXT IN (heavy) OR grams = 90)", {16}),
     ],
 )
 def test_membership(e, where, want):
-    assert set(ids(e.execute(f"SELECT invoice_id FROM invoices WHERE {where}"))) == want
-    scored = e.execute(f"SELECT invoice_id, CONTEXT_COUNT() AS n FROM invoices WHERE {where}")
+    assert set(ids(e.execute(f"SELECT parcel_id FROM parcels WHERE {where}"))) == want
+    scored = e.execute(f"SELECT parcel_id, CONTEXT_COUNT() AS n FROM parcels WHERE {where}")
     assert set(ids(scored)) == want
 
 
 def test_scores(e):
-    assert dict(e.execute("SELECT invoice_id, CONTEXT_SCORE() AS s FROM invoices WHERE CONTEXT IN (high_value WEIGHT 2.0)").rows) == {2: 1.0, 4: 1.6}
-    got = e.execute("SELECT invoice_id, CONTEXT_SCORE() AS s, CONTEXT_COUNT() AS n FROM invoices WHERE CONTEXT IN (open_invoice, high_value) ORDER BY CONTEXT").rows
-    assert [(a, round(b, 6), c) for a, b, c in got] == [(4, 1.8, 2), (2, 1.5, 2), (1, 1.0, 1), (5, 1.0, 1)]
+    assert dict(e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (heavy WEIGHT 2.0)").rows) == {11: 1.4, 13: 0.9, 15: 1.9}
+    got = e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s, CONTEXT_COUNT() AS n FROM parcels WHERE CONTEXT IN (moving, heavy) ORDER BY CONTEXT").rows
+    assert [(a, round(b, 6), c) for a, b, c in got] == [(15, 1.95, 2), (11, 1.7, 2), (12, 1.0, 1), (16, 1.0, 1), (13, 0.45, 1)]
     e.score_mode = "algebra"
-    assert {r[1] for r in e.execute("SELECT invoice_id, CONTEXT_SCORE() AS s FROM invoices WHERE CONTEXT IN (open_invoice, high_value)").rows} == {1.0}
-    assert ids(e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (high_value) ORDER BY CONTEXT DESC LIMIT 1")) == [4]
-    assert ids(e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (open_invoice, high_value) ORDER BY CONTEXT USING MIN ASC, invoice_id LIMIT 2")) == [2, 4]
+    assert {r[1] for r in e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (moving, heavy)").rows} == {0.45, 1.0}
+    assert ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (heavy) ORDER BY CONTEXT DESC LIMIT 1")) == [15]
+    assert ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving, heavy) ORDER BY CONTEXT USING MIN ASC, parcel_id LIMIT 2")) == [13, 11]
 
 
 def test_bindings_and_hidden_keys(e):
-    r = e.execute("SELECT i.invoice_id, v.vendor_name FROM invoices AS i JOIN vendors AS v ON i.vendor_id = v.vendor_id WHERE CONTEXT ON i IN (open_invoice) AND CONTEXT ON v IN (risky_vendor)")
-    assert set(ids(r)) == {2, 4, 5} and r.columns == ["invoice_id", "vendor_name"]
-    assert e.execute("SELECT * FROM invoices WHERE CONTEXT IN (high_value) ORDER BY CONTEXT").columns == ["invoice_id", "vendor_id", "amount", "status"]
+    r = e.execute("SELECT p.parcel_id, v.city FROM parcels AS p JOIN depots AS v ON p.depot_id = v.depot_id WHERE CONTEXT ON p IN (moving) AND CONTEXT ON v IN (busy_depot)")
+    assert set(ids(r)) == {12, 15, 16} and r.columns == ["parcel_id", "city"]
+    assert e.execute("SELECT * FROM parcels WHERE CONTEXT IN (heavy) ORDER BY CONTEXT").columns == ["parcel_id", "depot_id", "grams", "stage"]
 
 
 def test_identity_maps(e, spark):
-    e.register_table("bills", spark.createDataFrame([(1, 10), (2, 12), (3, None)], "bill_id long, supplier_id long"), primary_key="bill_id")
+    e.register_table("bills", spark.createDataFrame([(1, 1), (2, 3), (3, None)], "bill_id long, supplier_id long"), primary_key="bill_id")
     with pytest.raises(SituError):
-        e.execute("SELECT bill_id FROM bills WHERE CONTEXT IN (risky_vendor)")
-    e.register_identity_map({"bills.supplier_id": "vendors.vendor_id"})
-    assert ids(e.execute("SELECT bill_id FROM bills WHERE CONTEXT IN (risky_vendor)")) == [2]
-    assert set(ids(e.execute("SELECT bill_id FROM bills WHERE CONTEXT NOT IN (risky_vendor)"))) == {1, 3}
+        e.execute("SELECT bill_id FROM bills WHERE CONTEXT IN (busy_depot)")
+    e.register_identity_map({"bills.supplier_id": "depots.depot_id"})
+    assert ids(e.execute("SELECT bill_id FROM bills WHERE CONTEXT IN (busy_depot)")) == [2]
+    assert set(ids(e.execute("SELECT bill_id FROM bills WHERE CONTEXT NOT IN (busy_depot)"))) == {1, 3}
 
 
 def test_algebra_on_random_sets(e, spark):
@@ -78,33 +78,33 @@ def test_algebra_on_random_sets(e, spark):
 
 
 def test_windows_ctes_subqueries(e):
-    z = e.execute("SELECT invoice_id, ROW_NUMBER() OVER (ORDER BY amount DESC) AS rn FROM invoices WHERE CONTEXT NOT IN (high_value) ORDER BY rn").rows
-    assert z == [(3, 3), (1, 4), (5, 5)]
-    q = "WITH big AS (SELECT invoice_id FROM invoices WHERE CONTEXT IN (high_value)) SELECT i.invoice_id FROM invoices AS i WHERE i.invoice_id NOT IN (SELECT invoice_id FROM big) AND CONTEXT IN (open_invoice)"
-    assert set(ids(e.execute(q))) == {1, 5}
-    assert ids(e.execute("SELECT invoice_id FROM invoices ORDER BY amount LIMIT 2 OFFSET 1")) == [1, 3]
-    assert ids(e.execute("WITH CONTEXT WINDOW 1 SELECT invoice_id FROM invoices WHERE CONTEXT IN (high_value) AND amount < 900")) == [4]
+    z = e.execute("SELECT parcel_id, ROW_NUMBER() OVER (ORDER BY grams DESC) AS rn FROM parcels WHERE CONTEXT NOT IN (heavy) ORDER BY rn").rows
+    assert z == [(16, 4), (12, 5), (14, 6)]
+    q = "WITH big AS (SELECT parcel_id FROM parcels WHERE CONTEXT IN (heavy)) SELECT p.parcel_id FROM parcels AS p WHERE p.parcel_id NOT IN (SELECT parcel_id FROM big) AND CONTEXT IN (moving)"
+    assert set(ids(e.execute(q))) == {12, 16}
+    assert ids(e.execute("SELECT parcel_id FROM parcels ORDER BY grams LIMIT 2 OFFSET 1")) == [12, 16]
+    assert ids(e.execute("WITH CONTEXT WINDOW 1 SELECT parcel_id FROM parcels WHERE CONTEXT IN (heavy) AND grams < 960")) == [15]
     with pytest.raises(SituError):
-        e.execute("WITH CONTEXT WINDOW 1 SELECT invoice_id FROM invoices")
-    assert e.execute("SELECT vendor_id, COUNT(*) AS n FROM invoices WHERE CONTEXT IN (open_invoice) GROUP BY vendor_id HAVING COUNT(*) > 1").rows == [(11, 2)]
+        e.execute("WITH CONTEXT WINDOW 1 SELECT parcel_id FROM parcels")
+    assert e.execute("SELECT depot_id, COUNT(*) AS n FROM parcels WHERE CONTEXT IN (moving) GROUP BY depot_id HAVING COUNT(*) > 1").rows == [(2, 2)]
 
 
 def test_semi_joins_and_no_collect(e):
-    plan = e.explain("SELECT invoice_id FROM invoices WHERE CONTEXT IN (open_invoice) AND CONTEXT NOT IN (high_value)")
-    assert "LeftSemi" in plan and "LeftAnti" in plan and "open_invoice" in plan
+    plan = e.explain("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving) AND CONTEXT NOT IN (heavy)")
+    assert "LeftSemi" in plan and "LeftAnti" in plan and "moving" in plan
 
 
 def test_catalog_statements(e):
-    e.execute("CREATE CONTEXT over(t INT DEFAULT 150) ON invoice_id SCORE amount / 800.0 DESCRIPTION 'large' TAGS ('a', 'b') AS SELECT invoice_id, amount FROM invoices WHERE amount > t")
-    assert set(ids(e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (over)"))) == {2, 3, 4}
-    assert set(ids(e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (over(t := 400))"))) == {2, 4}
-    e.execute("CREATE CONTEXT both ON invoice_id AS COMPOSE (open_invoice, over) WITH STRATEGY INTERSECT")
-    assert set(ids(e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (both)"))) == {2, 4}
-    e.execute("CREATE CONTEXT nested ON invoice_id AS SELECT invoice_id FROM invoices WHERE CONTEXT IN (both)")
+    e.execute("CREATE CONTEXT over(t INT DEFAULT 150) ON parcel_id SCORE grams / 1000.0 DESCRIPTION 'large' TAGS ('a', 'b') AS SELECT parcel_id, grams FROM parcels WHERE grams > t")
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (over)"))) == {11, 13, 15, 16}
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (over(t := 500))"))) == {11, 15}
+    e.execute("CREATE CONTEXT both ON parcel_id AS COMPOSE (moving, over) WITH STRATEGY INTERSECT")
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (both)"))) == {11, 15, 16}
+    e.execute("CREATE CONTEXT nested ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (both)")
     with pytest.raises(SituError):
         e.execute("DROP CONTEXT both RESTRICT")
     with pytest.raises(SituError):
-        e.execute("CREATE OR REPLACE CONTEXT both ON invoice_id AS SELECT invoice_id FROM invoices WHERE CONTEXT IN (nested)")
+        e.execute("CREATE OR REPLACE CONTEXT both ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (nested)")
     e.execute("ALTER CONTEXT over RENAME TO above; ALTER CONTEXT above SET STATE 'deprecated'; ALTER CONTEXT above DROP SCORE")
     assert dict(e.execute("DESCRIBE CONTEXT above").rows)["state"] == "deprecated"
     assert [r[0] for r in e.execute("SHOW CONTEXTS WHERE state = 'deprecated'").rows] == ["above"]
@@ -113,13 +113,13 @@ def test_catalog_statements(e):
     assert e.catalog.contexts["nested"].state == "active" and e.catalog.contexts["both"].snapshot
     old = e.refresh("both")
     assert e.diff("both", old).count() == 0
-    assert e.execute("EXPLAIN CONTEXT both FOR 2").df.where("member").count() == 3
+    assert e.execute("EXPLAIN CONTEXT both FOR 15").df.where("member").count() == 3
     e.execute("DROP CONTEXT both CASCADE; DROP CONTEXT IF EXISTS both; CREATE NAMESPACE n OWNER ROLE r; SET a.b = 5")
     assert "nested" not in e.catalog.contexts and e.catalog.conf["b"] == "5"
-    e.execute("GRANT USE ON CONTEXT open_invoice TO ROLE clerk")
+    e.execute("GRANT USE ON CONTEXT moving TO ROLE clerk")
     e.principal = "stranger"
     with pytest.raises(SituError):
-        e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (open_invoice)")
+        e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving)")
 
 
 def test_temporal(e, spark):
@@ -129,25 +129,28 @@ def test_temporal(e, spark):
     assert set(ids(e.execute("SELECT k FROM ev WHERE CONTEXT IN (seen AT '2026-02-20')"))) == {1, 4, 7}
     assert len(e.execute("SELECT k FROM ev WHERE CONTEXT IN (seen BETWEEN '2026-01-09' AND '2026-02-01')")) == 6
     with pytest.raises(SituError):
-        e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (open_invoice AT '2026-01-01')")
+        e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving AT '2026-01-01')")
 
 
 def test_process_functions(e, spark):
-    day = lambda d: datetime.datetime(2026, 3, d)
-    rows = [("O1", "Create Order", day(1)), ("O1", "Approve", day(2)), ("O1", "Ship", day(5)), ("O2", "Create Order", day(1)), ("O2", "Reject", day(2)), ("O2", "Approve", day(3)), ("O2", None, day(4))]
-    e.register_table("log", spark.createDataFrame(rows, "order_id string, act string, at timestamp_ntz"))
-    e.register_table("cases", spark.createDataFrame([("O1",), ("O2",), ("O3",)], "order_id string"), primary_key="order_id")
-    e.execute("CREATE EVENT LOG ol FROM log ON order_id ACTIVITY act TIMESTAMP at")
-    e.execute("CREATE PROCESS MODEL m FOR EVENT LOG ol EXPECTED PATH ('Create Order', 'Approve', 'Ship')")
-    q = "SELECT order_id, PATH_STRING(order_id) AS p, ACTIVITY_COUNT(order_id) AS n, THROUGHPUT_TIME(order_id) AS t, REWORK_COUNT('Approve', order_id) AS r, CONFORMS_TO(order_id, 'm') AS c, DEVIATION_TYPE(order_id, 'm') AS d, round(DEVIATION_SCORE(order_id, 'm'), 3) AS s FROM cases ORDER BY order_id"
+    day = lambda d: datetime.datetime(2031, 7, d)
+    rows = [("A", "Book", day(3)), ("A", "Scan", day(4)), ("A", "Scan", day(6)), ("A", "Deliver", day(9)), ("B", "Book", day(2)), ("B", "Deliver", day(8)), ("B", "Return", day(9)), ("B", None, day(10))]
+    e.register_table("log", spark.createDataFrame(rows, "ref string, act string, at timestamp_ntz"))
+    e.register_table("cases", spark.createDataFrame([("A",), ("B",), ("C",)], "ref string"), primary_key="ref")
+    e.execute("CREATE EVENT LOG ol FROM log ON ref ACTIVITY act TIMESTAMP at")
+    e.execute("CREATE PROCESS MODEL m FOR EVENT LOG ol EXPECTED PATH ('Book', 'Scan', 'Deliver') EXPECTED PATH ('Book', 'Scan', 'Scan', 'Deliver')")
+    q = "SELECT ref, PATH_STRING(ref) AS p, ACTIVITY_COUNT(ref) AS n, THROUGHPUT_TIME(ref) AS t, REWORK_COUNT('Scan', ref) AS r, CONFORMS_TO(ref, 'm') AS c, DEVIATION_TYPE(ref, 'm') AS d, round(DEVIATION_SCORE(ref, 'm'), 3) AS s FROM cases ORDER BY ref"
     one, two, three = e.execute(q).rows
-    assert one == ("O1", "Create Order -> Approve -> Ship", 3, datetime.timedelta(4), 0, True, None, 0.0)
-    assert two[1:3] == ("Create Order -> Reject -> Approve", 3) and two[5:] == (False, "MIXED", 0.667)
-    assert three[1:3] == (None, 0)
-    for pattern, want in (("Create Order -> * -> Ship", ["O1"]), ("Approve", ["O1", "O2"]), ("Create Order -> Approve", ["O1"]), ("Order", []), ("* -> Approve -> *", ["O1", "O2"])):
-        assert sorted(ids(e.execute(f"SELECT order_id FROM cases WHERE PATH_CONTAINS(order_id, '{pattern}')"))) == want, pattern
-    got = e.execute("SELECT order_id, THROUGHPUT_TIME_BETWEEN(order_id, 'Create Order', 'Approve') USING EVENT LOG ol AS t FROM cases ORDER BY order_id").rows
-    assert [r[1] for r in got] == [datetime.timedelta(1), datetime.timedelta(2), None]
+    assert one == ("A", "Book -> Scan -> Scan -> Deliver", 4, datetime.timedelta(6), 1, True, None, 0.0)
+    assert two == ("B", "Book -> Deliver -> Return", 3, datetime.timedelta(7), 0, False, "MIXED", 0.667)
+    assert three == ("C", None, 0, None, None, None, None, None)
+    for pattern, want in (("Book -> * -> Deliver", ["A", "B"]), ("Scan", ["A"]), ("Book -> Deliver", ["B"]), ("Boo", []), ("* -> Return -> *", ["B"])):
+        assert sorted(ids(e.execute(f"SELECT ref FROM cases WHERE PATH_CONTAINS(ref, '{pattern}')"))) == want, pattern
+    assert ids(e.execute("SELECT ref FROM cases WHERE NOT PATH_CONTAINS(ref, 'Scan')")) == ["B"]
+    got = e.execute("SELECT ref, THROUGHPUT_TIME_BETWEEN(ref, 'Book', 'Deliver') USING EVENT LOG ol AS t, CASE_START(ref) AS a, CASE_END(ref) AS b FROM cases ORDER BY ref")
+    assert [r[1:] for r in got.rows] == [(datetime.timedelta(6), day(3), day(9)), (datetime.timedelta(6), day(2), day(9)), (None, None, None)]
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_min" in plan  # times of a case need no array of its events
 
 
 class Slow:
@@ -158,46 +161,137 @@ class Slow:
 
 
 def test_providers(e):
-    e.register_mcp_provider("watch", ScoreThresholdProvider({1: 0.9, 4: 0.7, 5: 0.1}, "invoice"), entity_type="invoice", entity_key="invoice_id")
-    r = e.execute("SELECT invoice_id, CONTEXT_SCORE() AS s FROM invoices WHERE CONTEXT IN (MCP(watch)) ORDER BY CONTEXT")
-    assert r.rows == [(1, 0.9), (4, 0.7)] and r.trace["providers"][0]["count"] == 2
-    e.register_remote_provider("desk", RowsProvider({"issues": [{"iid": i, "priority": "high"} for i in range(1, 4)]}))
-    assert set(ids(e.execute("SELECT i.invoice_id FROM invoices i JOIN REMOTE(desk.issues) AS d ON i.invoice_id = d.iid WHERE CONTEXT ON i IN (MCP(watch))"))) == {1}
-    e.register_mcp_provider("other", type("P", (), {"resolve": lambda *a: Membership("vendor", [1])})(), entity_type="invoice")
+    e.register_mcp_provider("watch", ScoreThresholdProvider({11: 0.9, 14: 0.7, 15: 0.1}, "parcel"), entity_type="parcel", entity_key="parcel_id")
+    r = e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (MCP(watch)) ORDER BY CONTEXT")
+    assert r.rows == [(11, 0.9), (14, 0.7)] and r.trace["providers"][0]["count"] == 2
+    e.register_remote_provider("desk", RowsProvider({"issues": [{"iid": i, "priority": "high"} for i in range(11, 14)]}))
+    assert set(ids(e.execute("SELECT p.parcel_id FROM parcels p JOIN REMOTE(desk.issues) AS d ON p.parcel_id = d.iid WHERE CONTEXT ON p IN (MCP(watch))"))) == {11}
+    e.register_mcp_provider("other", type("P", (), {"resolve": lambda *a: Membership("depot", [1])})(), entity_type="parcel")
     with pytest.raises(SituError):
-        e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (MCP(other))")
-    e.register_mcp_provider("slow", Slow(), entity_key="invoice_id", timeout=0.05)
+        e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (MCP(other))")
+    e.register_mcp_provider("slow", Slow(), entity_key="parcel_id", timeout=0.05)
     began = time.time()
-    r = e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (MCP(slow))")
+    r = e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (MCP(slow))")
     assert r.diagnostics and time.time() - began < 4
     e.mcp_timeout_mode = "error"
     with pytest.raises(RuntimeError):
-        e.execute("SELECT invoice_id FROM invoices WHERE CONTEXT IN (MCP(slow))")
+        e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (MCP(slow))")
     e.register_remote_provider("slow_rows", Slow(), timeout=0.05)
     with pytest.raises(RuntimeError):
         e.execute("SELECT * FROM REMOTE(slow_rows.x) AS r")
 
 
 def test_builder_lint_errors(e):
-    b = e.query("invoices").select("invoice_id", "CONTEXT_SCORE() AS s").where_context("open_invoice", "high_value", weights={"high_value": 0.5}).where("amount > 60").order_by_context().limit(2)
-    assert b.build() == "SELECT invoice_id, CONTEXT_SCORE() AS s FROM invoices WHERE CONTEXT IN (open_invoice, high_value WEIGHT 0.5) AND amount > 60 ORDER BY CONTEXT DESC LIMIT 2"
-    assert ids(b.execute()) == [4, 2]
+    b = e.query("parcels").select("parcel_id", "CONTEXT_SCORE() AS s").where_context("moving", "heavy", weights={"heavy": 0.5}).where("grams > 60").order_by_context().limit(2)
+    assert b.build() == "SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (moving, heavy WEIGHT 0.5) AND grams > 60 ORDER BY CONTEXT DESC LIMIT 2"
+    assert ids(b.execute()) == [15, 11]
     codes = lambda s: {d.code for d in e.lint(s)}
-    assert codes("SELECT 1 FROM invoices WHERE CONTEXT IN (opn_invoice)") == {"E100"} and "did you mean" in str(e.lint("SELECT 1 FROM t WHERE CONTEXT IN (opn_invoice)")[0])
-    assert codes("SELECT CONTEXT_SCORE() AS s FROM invoices") == {"E108"} and codes("SELECT ~") == {"E001"}
-    assert codes("SELECT 1 FROM invoices WHERE CONTEXT IN (open_invoice WEIGHT 3.0) ORDER BY CONTEXT") == {"W001", "W002", "W004"}
-    for bad in ("SELECT x FROM nowhere", "SELECT invoice_id FROM invoices WHERE CONTEXT IN (none)", "FLY", ""):
+    assert codes("SELECT 1 FROM parcels WHERE CONTEXT IN (movng)") == {"E100"} and "did you mean" in str(e.lint("SELECT 1 FROM t WHERE CONTEXT IN (movng)")[0])
+    assert codes("SELECT CONTEXT_SCORE() AS s FROM parcels") == {"E108"} and codes("SELECT ~") == {"E001"}
+    assert codes("SELECT 1 FROM parcels WHERE CONTEXT IN (moving WEIGHT 3.0) ORDER BY CONTEXT") == {"W103", "W104"}
+    for bad in ("SELECT x FROM nowhere", "SELECT parcel_id FROM parcels WHERE CONTEXT IN (none)", "FLY", ""):
         with pytest.raises(SituError):
             e.execute(bad)
 
 
 def test_table_functions(e, spark):
-    got = e.execute("SELECT bin_low, count FROM HISTOGRAM((SELECT amount FROM invoices), 3) AS h ORDER BY bin_low").rows
-    assert got == [(50.0, 3), (300.0, 1), (550.0, 1)]
-    assert e.execute("SELECT * FROM CLUSTER((SELECT invoice_id, amount FROM invoices), K := 2) AS c").df.select("cluster_id").distinct().count() == 2
+    got = e.execute("SELECT bin_low, count FROM HISTOGRAM((SELECT grams FROM parcels), 3) AS h ORDER BY bin_low").rows
+    assert [(round(a, 2), n) for a, n in got] == [(60.0, 3), (356.67, 1), (653.33, 2)]
+    assert e.execute("SELECT * FROM CLUSTER((SELECT parcel_id, grams FROM parcels), K := 2) AS c").df.select("cluster_id").distinct().count() == 2
 
 
 def test_registered_queries_have_engines_and_oracles():
     from situ.plans import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.oracle_sql()) > 90
+
+
+def test_codes_of_statements(e):
+    def code(text):
+        with pytest.raises(SituError) as found:
+            e.execute(text)
+        return found.value.code
+
+    e.execute("CREATE CONTEXT a ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving)")
+    e.execute("CREATE EVENT LOG known FROM parcels ON parcel_id ACTIVITY stage TIMESTAMP grams")
+    for text, want in (
+        ("SELECT 'open", "E003"), ("SELECT parcel_id FROM parcels WHERE CONTEXT IN (none)", "E100"), ("CREATE OR REPLACE CONTEXT moving ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (a)", "E103"),
+        ("CREATE CONTEXT a ON parcel_id AS SELECT parcel_id FROM parcels", "E113"), ("CREATE CONTEXT b ON depot_id AS SELECT parcel_id FROM parcels", "E114"), ("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving(x := 1))", "E115"),
+        ("CREATE CONTEXT b(t INT, t INT) ON parcel_id AS SELECT parcel_id FROM parcels", "E116"), ("CREATE CONTEXT b AS COMPOSE (heavy, busy_depot) WITH STRATEGY UNION", "E117"),
+        ("CREATE CONTEXT b ON parcel_id AS SELECT parcel_id FROM parcels ORDER BY parcel_id", "E118"), ("CREATE CONTEXT b AS SELECT parcel_id FROM parcels", "E120"), ("CREATE CONTEXT b ON parcel_id SCORE stage AS SELECT parcel_id, stage FROM parcels", "E111"),
+        ("SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving AT '2030-01-01')", "E109"), ("CREATE EVENT LOG x ON parcel_id", "E130"), ("CREATE EVENT LOG x FROM parcels ACTIVITY stage", "E131"), ("CREATE EVENT LOG x FROM parcels ON parcel_id TIMESTAMP grams", "E132"),
+        ("CREATE EVENT LOG x FROM parcels ON parcel_id ACTIVITY stage", "E133"), ("CREATE PROCESS MODEL x FOR EVENT LOG known", "E140"), ("CREATE PROCESS MODEL x FOR EVENT LOG other EXPECTED PATH ('a')", "E141"), ("SELECT x FROM nowhere", "E201"),
+        ("SELECT parcel_id FROM parcels WHERE CONTEXT IN (busy_depot) AND CONTEXT ON q IN (moving)", "E205"), ("DROP CONTEXT moving", "E211"), ("WITH CONTEXT WINDOW 3 SELECT parcel_id FROM parcels", "E207"),
+    ):
+        assert code(text) == want, text
+    e.execute("REGISTER MCP PROVIDER later TRANSPORT 'http'")
+    assert code("SELECT parcel_id FROM parcels WHERE CONTEXT IN (MCP(later))") == "E204"
+    e.execute("ALTER CONTEXT a SET STATE 'archived'")
+    assert code("SELECT parcel_id FROM parcels WHERE CONTEXT IN (a)") == "E112"
+    e.strict = True
+    assert code("SELECT CONTEXT_SCORE() AS s FROM parcels") == "E108" and code("SELECT parcel_id FROM parcels ORDER BY CONTEXT") == "E107"
+
+
+def test_lint_rules(e, spark):
+    codes = lambda s: {d.code for d in e.lint(s)}
+    e.register_table("named", spark.createDataFrame([("x",)], "parcel_id string"), primary_key="parcel_id")
+    e.execute("CREATE CONTEXT first ON parcel_id AS SELECT parcel_id FROM parcels; CREATE CONTEXT second ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (first)")
+    for text, code, without in (
+        ("SELECT 1 FROM parcels WHERE CONTEXT IN (nobody)", "E100", "SELECT 1 FROM parcels WHERE CONTEXT IN (moving)"), ("SELECT 1 FROM named WHERE CONTEXT IN (moving)", "E102", "SELECT 1 FROM parcels WHERE CONTEXT IN (busy_depot)"),
+        ("CREATE OR REPLACE CONTEXT first ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (second)", "E103", "CREATE CONTEXT third ON parcel_id AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (second)"),
+        ("SELECT 1 FROM parcels ORDER BY CONTEXT DESC", "E107", "SELECT 1 FROM parcels WHERE CONTEXT IN (heavy) ORDER BY CONTEXT DESC LIMIT 1"), ("SELECT CONTEXT_SCORE() FROM parcels", "E108", "SELECT CONTEXT_SCORE() FROM parcels WHERE CONTEXT IN (heavy)"),
+        ("SELECT 1 FROM parcels WHERE CONTEXT IN (heavy AT '2030-01-01')", "E109", "SELECT 1 FROM parcels WHERE CONTEXT IN (heavy)"), ("SELECT 1 FROM parcels WHERE CONTEXT IN (heavy WEIGHT -0.5)", "E110", "SELECT 1 FROM parcels WHERE CONTEXT IN (heavy WEIGHT 0.5)"),
+        ("CREATE CONTEXT z ON parcel_id AS SELECT parcel_id FROM parcels ORDER BY grams", "E118", "CREATE CONTEXT z ON parcel_id AS SELECT parcel_id FROM (SELECT parcel_id FROM parcels ORDER BY grams LIMIT 3) AS q"),
+        ("WITH CONTEXT WINDOW 5 SELECT 1 FROM parcels WHERE CONTEXT IN (moving)", "W001", "WITH CONTEXT WINDOW 5 SELECT 1 FROM parcels WHERE CONTEXT IN (heavy)"),
+        ("SELECT 1 FROM parcels p JOIN depots d ON p.depot_id = d.depot_id WHERE CONTEXT IN (moving)", "W002", "SELECT 1 FROM parcels p JOIN depots d ON p.depot_id = d.depot_id WHERE CONTEXT ON p IN (moving)"),
+        ("CREATE CONTEXT z ON parcel_id SCORE 1.5 AS SELECT parcel_id FROM parcels", "W003", "CREATE CONTEXT z ON parcel_id SCORE 0.5 AS SELECT parcel_id FROM parcels"), ("SELECT 1 FROM parcels WHERE CONTEXT IN (heavy WEIGHT 0.0)", "W004", "SELECT 1 FROM parcels WHERE CONTEXT IN (heavy WEIGHT 0.1)"),
+    ):
+        assert code in codes(text) and code not in codes(without), (text, codes(text), codes(without))
+    text = "SELECT 1\nFROM parcels WHERE CONTEXT IN (nobody)"
+    assert e.lint(text)[0].render(text).splitlines()[1:4] == ["  --> 2:32", "   | FROM parcels WHERE CONTEXT IN (nobody)", "   | " + " " * 31 + "^"]
+
+
+def test_privileges_on_every_read(e):
+    e.execute("CREATE CONTEXT both ON parcel_id AS COMPOSE (moving, heavy) WITH STRATEGY UNION; GRANT USE ON CONTEXT both TO ROLE clerk; GRANT USE ON CONTEXT moving TO ROLE clerk")
+    e.principal = "clerk"
+    assert e.members("moving").count() == 4
+    for read in (lambda: e.members("heavy"), lambda: e.members("both"), lambda: e.preview("heavy"), lambda: e.refresh("heavy"), lambda: e.execute("EXPLAIN CONTEXT heavy"), lambda: e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (both)")):
+        with pytest.raises(SituError) as found:
+            read()
+        assert found.value.code == "E208"
+
+
+def test_totals_are_one_joined_row(e):
+    r = e.execute("SELECT parcel_id, round(ZSCORE(grams), 4) AS z, grams / GLOBAL(SUM(grams)) AS share FROM parcels WHERE grams > 60 AND CONTEXT IN (moving) ORDER BY parcel_id")
+    kept = [700, 90, 450, 950, 300]
+    mean = sum(kept) / 5
+    sd = (sum((x - mean) ** 2 for x in kept) / 4) ** 0.5
+    assert r.rows == [(i, round((g - mean) / sd, 4), g / sum(kept)) for i, g in ((11, 700), (12, 90), (15, 950), (16, 300))]
+    assert "Window" not in r.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_and_marks_go_on_in_a_new_session(e, spark, tmp_path):
+    from situ.streaming import refresh
+
+    folder, inbox = f"file://{tmp_path}/kept", f"{tmp_path}/inbox"
+    stream = lambda: spark.readStream.schema("k long, s double").parquet(inbox)
+    ranked, old = [], refresh.COMPACT
+    refresh.COMPACT = 2
+    for n in range(5):
+        spark.createDataFrame([(n, 0.1 * n), (0, 0.3 * n), (None, 9.0)], "k long, s double").write.mode("append").parquet(inbox)
+        again = Engine(spark)  # knows nothing of the batches before
+        again.register_context("seen", spark.createDataFrame([], "k long, s double"), entity_key="k", has_score=True, score_column="s")
+        refresh.maintain(again, "seen", stream(), folder, ranking=2, publish=lambda df: ranked.append([r[0] for r in df.collect()])).awaitTermination()
+        assert {r[0] for r in again.members("seen").collect()} == set(range(n + 1))
+    refresh.COMPACT = old
+    assert len(refresh.parts(spark, f"{folder}/members")) == 2 and ranked[-1] == [0, 4]
+    assert {r[0]: round(r[1], 6) for r in again.members("seen").collect()}[0] == 1.2
+    rows = spark.createDataFrame([(1, 5), (2, 6), (1, 7), (3, None)], "k long, at long")
+    assert refresh.advance(again, "seen", rows.where("at < 7"), "at", f"{folder}/mark") == 2 and refresh.advance(again, "seen", rows, "at", f"{folder}/mark") == 1
+    assert refresh.advance(again, "seen", rows, "at", f"{folder}/mark") == 0 and {r[0] for r in again.members("seen").collect()} == {1, 2}
+
+
+def test_strings_and_nested_tables(e):
+    assert e.execute("SELECT 'a\\b' AS x, 'it''s' AS y, '\\' AS z").rows == [("a\\b", "it's", "\\")]
+    q = "WITH a AS (SELECT parcel_id FROM parcels) SELECT x.depot_id FROM (WITH b AS (SELECT depot_id FROM depots) SELECT b.depot_id FROM b) AS x JOIN (SELECT parcel_id FROM a WHERE parcel_id = 12) AS y ON x.depot_id = y.parcel_id - 10"
+    assert ids(e.execute(q)) == [2]
