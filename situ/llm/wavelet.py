@@ -210,7 +210,7 @@ def _shards(path: str, end: int):
             return row
 
         for whole in parts:
-            for batch in bounded(whole, "text", BATCH):
+            for batch in bounded(whole, "text", 2 * BATCH):
                 found, ends = code.encode_array(batch.column("text"))
                 for i, a, b in zip(batch.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                     ids.append(i)
