@@ -295,3 +295,19 @@ def test_strings_and_nested_tables(e):
     assert e.execute("SELECT 'a\\b' AS x, 'it''s' AS y, '\\' AS z").rows == [("a\\b", "it's", "\\")]
     q = "WITH a AS (SELECT parcel_id FROM parcels) SELECT x.depot_id FROM (WITH b AS (SELECT depot_id FROM depots) SELECT b.depot_id FROM b) AS x JOIN (SELECT parcel_id FROM a WHERE parcel_id = 12) AS y ON x.depot_id = y.parcel_id - 10"
     assert ids(e.execute(q)) == [2]
+
+
+def test_command_line_and_trace(e, spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    from situ import cli
+
+    spark.range(3).write.parquet(f"{tmp_path}/n")
+    assert cli.main(["--table", f"n={tmp_path}/n", "--output", "csv", "SELECT id FROM n WHERE id > 1"]) == 0
+    assert capsys.readouterr().out == "id\n2\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO("SELECT id\nFROM n WHERE id = 0;\n\nSELECT ~;\nSELECT x FROM gone;\nSELECT id FROM n WHERE id = 1;\nexit\nSELECT 5;\n"))
+    assert cli.main(["--table", f"n={tmp_path}/n", "--output", "json"]) == 0
+    out = capsys.readouterr().out
+    assert '{"id":0}' in out and '{"id":1}' in out and "E001" in out and "E201" in out and "5" not in out.replace("E20", "")
+    r = e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (moving, heavy WEIGHT 0.5)")
+    assert [(b["context"], b["weight"], b["scored"]) for b in r.trace["score_breakdown"]] == [("moving", 1.0, False), ("heavy", 0.5, True)]
