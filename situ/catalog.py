@@ -124,6 +124,8 @@ class Catalog:
         self.namespaces: dict[str, str] = {}
         self.grants: list[tuple[str, str, str]] = []
         self.identity: list[tuple[str, str]] = []
+        self.policies: list = []
+        self.identities: list = []
         self.conf: dict[str, str] = {}
         self.audit: list[tuple] = []
 

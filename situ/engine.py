@@ -12,12 +12,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linter
+from . import governance, linter
 from .builder import QueryBuilder
 from .catalog import Catalog, Context, EventLog, Provider, Table
 from .errors import Diagnostic, SituError
 from .lexer import Token, render, statements, tokens
-from .operators.contexts import resolve
+from .operators.contexts import distinct, resolve
 from .plans.ddl import run as run_ddl
 from .plans.select import Planner
 from .result import Result
@@ -37,6 +37,7 @@ class Engine:
         self.mcp_timeout, self.remote_timeout, self.mcp_timeout_mode = mcp_timeout, remote_timeout, mcp_timeout_mode
         self.catalog.conf.update(config or {})
         self.principal: str | None = None
+        self.session: dict[str, Any] = {}
         self.diagnostics: list[Diagnostic] = []
 
     # -- registration -------------------------------------------------------------------------------------------
@@ -112,6 +113,31 @@ class Engine:
         """Equates columns of tables: {"t.a": "u.b"} works both ways."""
         self.catalog.identity += list(mapping.items())
 
+    def register_identities(self, data: Any, left: str, right: str, confidence: str | None = None) -> None:
+        """Equates keys of two systems row by row: with SET identity_mode = 'federated', a context by one of the columns
+        serves queries that have the other, its scores times the confidence.  Rows below the setting identity_confidence
+        are not taken."""
+        self.catalog.identities.append(governance.Identities(self.to_frame(data), left, right, confidence))
+
+    def add_row_policy(self, table: str, condition: str, *principals: str) -> None:
+        """Lets some principals, or all, see only a table's rows that meet a condition in Spark SQL, in which session.name
+        is a value of ``session``.  The condition stands where the table is read, so it is pushed down to the scan; the
+        definitions of contexts see all rows, as their members are the same for everybody."""
+        self.catalog.policies.append(governance.RowPolicy(table, condition, principals))
+
+    def visible(self, table: str, busy: tuple[str, ...] = ()) -> DataFrame:
+        """A table's rows that the principal may see."""
+        some = "" if busy else governance.condition(self.catalog.policies, table, self.principal, {k.lower(): v for k, v in self.session.items()})
+        return self.spark.table(table).where(some) if some else self.spark.table(table)
+
+    def may(self, privilege: str, name: str) -> bool:
+        """Whether the current principal may use a context."""
+        try:
+            self.authorise(privilege, name)
+        except SituError:
+            return False
+        return True
+
     def authorise(self, privilege: str, name: str) -> None:
         """Fails if the current principal was not granted the use of a context.  It is asked wherever members are read, and
         counts once anything has been granted and a principal is set."""
@@ -136,6 +162,10 @@ class Engine:
             return self.spark.createDataFrame([], "__k string, __s double")
         if source.entity_type and got.entity_type and got.entity_type != source.entity_type:
             raise SituError("E302", f"provider {source.name} gives {got.entity_type}, not {source.entity_type}")
+        if isinstance(got.entity_ids, DataFrame):  # any number of members, which executors read
+            key, *score = got.entity_ids.columns
+            planner.trace["providers"].append({"name": source.name, "count": None, "ms": (time.time() - began) * 1000})
+            return distinct(got.entity_ids.selectExpr(f"`{key}` AS __k", f"CAST(`{score[0]}` AS DOUBLE) AS __s" if score else "1.0D AS __s"))
         scores = got.scores if got.scores is not None else [1.0] * len(got.entity_ids)
         planner.trace["providers"].append({"name": source.name, "count": len(got.entity_ids), "ms": (time.time() - began) * 1000})
         best: dict[Any, float] = {}
@@ -145,18 +175,19 @@ class Engine:
         kind = "long" if best and all(isinstance(k, int) for k in best) else "string"
         return self.spark.createDataFrame([(k if kind == "long" else str(k), s) for k, s in best.items()], f"__k {kind}, __s double")
 
-    def fetch_remote(self, name: str, planner: Planner) -> DataFrame:
-        """A remote resource's rows: provider.resource."""
+    def fetch_remote(self, name: str, planner: Planner, filters: Mapping[str, Any] | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """A remote resource's rows: provider.resource.  Filters, columns and limit are hints: what the provider does not
+        use of them, the query does.  A provider that gives a Spark frame is read by executors."""
         provider, _, resource = name.partition(".")
         source = self.catalog.providers[provider]
         began = time.time()
         if source.impl is None:
             raise SituError("E204", f"provider {provider} has no implementation", "register_remote_provider gives it one")
         try:
-            rows = timed(lambda: source.impl.query(resource, {}, [], None), float(source.options.get("timeout", self.remote_timeout)))
+            rows = timed(lambda: source.impl.query(resource, dict(filters or {}), list(columns or []), limit), float(source.options.get("timeout", self.remote_timeout)))
         except TimeoutError as e:
             raise RuntimeError(f"provider {provider}: {e}") from e
-        planner.trace["providers"].append({"name": name, "ms": (time.time() - began) * 1000})
+        planner.trace["providers"].append({"name": name, "ms": (time.time() - began) * 1000, "filters": dict(filters or {}), "columns": list(columns or []), "limit": limit})
         return self.to_frame(rows)
 
     def event_log(self, name: str | None, tables: list[str]) -> EventLog:
@@ -264,6 +295,13 @@ class Engine:
             folder = self.spark.conf.get("spark.sql.warehouse.dir")
         return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    def refresh_due(self, now: float | None = None) -> list[str]:
+        """Refreshes the contexts whose schedule has come, in order of dependence: for a timer to call."""
+        names = governance.due(self, now)
+        for n in names:
+            self.refresh(n)
+        return names
+
     def diff(self, name: str, before: str) -> DataFrame:
         """Keys that joined and left a context since an earlier snapshot."""
         now, old = self.members(name), self.spark.read.parquet(before)
@@ -271,10 +309,16 @@ class Engine:
         return joined.union(old.join(now, "__k", "left_anti").select("__k", F.lit("removed").alias("change")))
 
     def erase(self, name: str, keys: DataFrame) -> None:
-        """Rewrites a context's snapshot without some keys (the frame's first column)."""
+        """Rewrites a context's snapshot and the parts that batches brought without some keys (the frame's first column),
+        and deletes the old files.  A stream that keeps the context must not run meanwhile."""
         ctx = self.catalog.contexts[name]
+        if ctx.parts:
+            from .streaming.refresh import erase
+
+            ctx.parts = erase(self.spark, ctx.parts, keys)
         if ctx.snapshot:
             kept = self.spark.read.parquet(ctx.snapshot).join(keys.select(F.col(keys.columns[0]).alias("__k")), "__k", "left_anti")
             path = f"{ctx.snapshot}-{uuid.uuid4().hex[:8]}"
             kept.write.parquet(path)
-            ctx.snapshot = path
+            old, ctx.snapshot = self.spark._jvm.org.apache.hadoop.fs.Path(ctx.snapshot), path
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)

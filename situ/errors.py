@@ -39,6 +39,8 @@ CODES = {
     "W002": "joined query without CONTEXT ON",
     "W003": "score outside 0 to 1",
     "W004": "weight of zero",
+    "W010": "context is stale",
+    "W012": "context is very stale",
 }
 #: Codes of this engine for what the language's codes leave out.
 OWN_CODES = {

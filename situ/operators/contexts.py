@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Context
 from ..errors import SituError
+from ..governance import check_fresh
 from ..linter import family
 
 if TYPE_CHECKING:
@@ -44,6 +45,7 @@ def resolve(engine: Engine, ctx: Context, args: dict[str, str] | None = None, wh
     if ctx.parts and not args and not when:
         return distinct(engine.spark.read.parquet(*ctx.parts).select("__k", "__s"))
     if ctx.snapshot and not args and not when:
+        check_fresh(engine, ctx)
         return engine.spark.read.parquet(ctx.snapshot)
     rows = body(engine, ctx, args or {}, busy)
     if when:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,11 +24,50 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
-def pareto(value: Column, *ties: Column, partition: list[Column] | None = None) -> Column:
-    """The share of the total that this row and all with larger values make up."""
-    w = W.partitionBy(*(partition or []))
-    ordered = w.orderBy(value.desc_nulls_last(), *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return F.sum(value).over(ordered) / F.sum(value).over(w)
+#: Rows that a Pareto order is cut at, a power of two less one; there is one range more.
+CUTS = 127
+
+
+def _place(x: str, ties: list[str]) -> str:
+    """A row's place in a Pareto order: large values first, nulls last, then the ties."""
+    fields = [f"'n', ({x}) IS NULL", f"'x', -({x})", *(f"'t{i}', {t}" for i, t in enumerate(ties))]
+    return f"named_struct({', '.join(fields)})"
+
+
+def _range(cuts: str, place: str) -> str:
+    """How many of the cuts come before a place, by binary search."""
+    steps = [1 << i for i in reversed(range(CUTS.bit_length()))]
+    return f"aggregate(array({', '.join(map(str, steps))}), 0, (__at, __by) -> __at + IF(get({cuts}, __at + __by - 1) < {place}, __by, 0))"
+
+
+def pareto_join(x: str, ties: list[str], name: str, source: str) -> str:
+    """A join of one row that divides the order of ``source`` (what follows FROM) into ranges for pareto_text.
+
+    The cuts are the rows whose places have the smallest hashes: a sample by chance that is the same whenever it is taken,
+    and that divides the rows of one frequent value by their ties.  One aggregation sums each range, and the sums before
+    each range are of so few rows.
+    """
+    place = _place(x, ties)
+    cuts = f"SELECT array_sort(collect_list(k)) AS cuts FROM (SELECT k FROM (SELECT {place} AS k FROM {source}) ORDER BY xxhash64(k), k LIMIT {CUTS})"
+    return (
+        f" CROSS JOIN (SELECT any_value(cuts) AS cuts, map_from_entries(collect_list(struct(b, before))) AS bases, max(total) AS total FROM"
+        f" (SELECT b, cuts, coalesce(sum(s) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM"
+        f" (SELECT {_range('cuts', 'k')} AS b, sum(x) AS s, any_value(cuts) AS cuts FROM (SELECT {place} AS k, {x} AS x FROM {source}) CROSS JOIN ({cuts}) GROUP BY 1))) AS {name}"
+    )
+
+
+def pareto_text(x: str, ties: list[str], name: str) -> str:
+    """The share of the total that a row and all before it make up, over ranges that are summed side by side."""
+    b = _range(f"{name}.cuts", _place(x, ties))
+    order = ", ".join([f"{x} DESC NULLS LAST", *ties])
+    running = f"sum({x}) OVER (PARTITION BY {b} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"(({name}.bases[{b}] + coalesce({running}, 0)) / nullif({name}.total, 0))"
+
+
+def pareto(rows: DataFrame, value: str, *ties: str, share: str = "share") -> DataFrame:
+    """``rows`` with the share of the total of ``value`` that each row and all with larger values (then ties) make up."""
+    x, keys = f"`{value}`", [f"`{t}`" for t in ties]
+    return rows.sparkSession.sql(f"SELECT __r.*, {pareto_text(x, keys, '__p')} AS `{share}` FROM {{__r}} AS __r{pareto_join(x, keys, '__p', '{__r}')}", __r=rows)
 
 
 def clusters(rows: DataFrame, k: int | None = None, seed: int = 42, steps: int = 20) -> DataFrame:

@@ -224,7 +224,7 @@ def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tables import pareto
 
-    return engine(spark, sf_dir).spark.table("customer").where("c_acctbal > 0").select("c_custkey", F.round(pareto(F.col("c_acctbal"), F.col("c_custkey")), 6).alias("share"))
+    return engine(spark, sf_dir).spark.table("customer").where("c_acctbal > 0").transform(pareto, "c_acctbal", "c_custkey").select("c_custkey", F.round("share", 6).alias("share"))
 
 
 def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:

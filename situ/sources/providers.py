@@ -50,9 +50,14 @@ class RowsProvider:
         self.resources = dict(resources)
 
     def query(self, resource: str, filters: Mapping[str, Any] | None = None, columns: Sequence[str] | None = None, limit: int | None = None) -> Any:
-        """The rows: a list of maps, or a pandas, Arrow or Spark table."""
+        """The rows: a list of maps, or a pandas, Arrow or Spark table.  Hints are followed for lists; values of another type
+        than a filter's are left to the query, and where no row fits one is given, as it shows the columns."""
         rows = self.resources[resource]
-        return rows[:limit] if isinstance(rows, list) else rows
+        if not isinstance(rows, list) or not rows:
+            return rows
+        fits = lambda r: all(k not in r or isinstance(r[k], str) != isinstance(v, str) or r[k] == v for k, v in (filters or {}).items())
+        found = [r for r in rows if fits(r)][:limit] or rows[:1]
+        return [{k: r[k] for k in columns} for r in found] if columns and all(set(columns) <= set(r) for r in found) else found
 
 
 def timed(call: Callable[[], Any], seconds: float) -> Any:

@@ -26,13 +26,14 @@ def parts(spark: SparkSession, folder: str, below: int | None = None) -> list[st
     """The newest whole base and the whole parts after it, up to the batch before ``below``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"base": [], "part": []}
+    found: dict[str, dict[int, str]] = {"base": {}, "part": {}}
     for status in fs.listStatus(at) if fs.exists(at) else ():
-        m = re.fullmatch(r"(base|part)-(\d+)", status.getPath().getName())
+        m = re.fullmatch(r"(base|part)-(\d+)(-erased)?", status.getPath().getName())
         if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (below is None or int(m[2]) < below):
-            found[m[1]].append(int(m[2]))
+            if m[3] or int(m[2]) not in found[m[1]]:  # a part without erased keys counts before the one that had them
+                found[m[1]][int(m[2])] = f"{folder}/{m[0]}"
     base = max(found["base"], default=-1)
-    return [f"{folder}/base-{base}"] * (base >= 0) + [f"{folder}/part-{n}" for n in sorted(found["part"]) if n > base]
+    return [p for n, p in found["base"].items() if n == base] + [p for n, p in sorted(found["part"].items()) if n > base]
 
 
 def _add(engine: Engine, name: str, rows: DataFrame, number: int, folder: str) -> None:
@@ -46,6 +47,33 @@ def _add(engine: Engine, name: str, rows: DataFrame, number: int, folder: str) -
     engine.catalog.contexts[name].parts = tuple(parts(spark, folder))
 
 
+def erase(spark: SparkSession, known: tuple[str, ...], keys: DataFrame) -> tuple[str, ...]:
+    """Replaces parts, each under its own name, by what they hold besides the keys of a frame's first column.
+
+    The new part is written beside the old one and counts once it is whole, then it takes the old one's place, so numbers
+    of batches stay; what failed half-way is gone on with the next time.  Older parts that a base has replaced are deleted."""
+    gone = keys.select(F.col(f"`{keys.columns[0]}`").alias("__k"))
+    folder, path = known[0].rpartition("/")[0], spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def settle() -> None:
+        for p in parts(spark, folder):
+            if p.endswith("-erased"):
+                fs.delete(path(p.removesuffix("-erased")), True)
+                if not fs.rename(path(p), path(p.removesuffix("-erased"))):
+                    raise OSError(f"{p} cannot take the old part's place")
+
+    settle()
+    now = parts(spark, folder)
+    for p in now:
+        spark.read.parquet(p).join(gone, "__k", "left_anti").write.mode("overwrite").parquet(f"{p}-erased")
+    settle()
+    for status in fs.listStatus(path(folder)):
+        if f"{folder}/{status.getPath().getName()}" not in now:
+            fs.delete(status.getPath(), True)
+    return tuple(now)
+
+
 def resume(engine: Engine, name: str, folder: str) -> None:
     """Lets a context see the members that an earlier session has kept in the folder."""
     engine.catalog.contexts[name].parts = tuple(parts(engine.spark, folder))

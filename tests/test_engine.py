@@ -311,3 +311,166 @@ def test_command_line_and_trace(e, spark, tmp_path, monkeypatch, capsys):
     assert '{"id":0}' in out and '{"id":1}' in out and "E001" in out and "E201" in out and "5" not in out.replace("E20", "")
     r = e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (moving, heavy WEIGHT 0.5)")
     assert [(b["context"], b["weight"], b["scored"]) for b in r.trace["score_breakdown"]] == [("moving", 1.0, False), ("heavy", 0.5, True)]
+
+
+class Asked:
+    """A provider that remembers what it was asked for."""
+
+    def __init__(self, rows):
+        self.inner, self.calls = RowsProvider({"rows": rows}), []
+
+    def query(self, resource, filters, columns, limit):
+        self.calls.append((filters, columns, limit))
+        return self.inner.query(resource, filters, columns, limit)
+
+
+@pytest.mark.parametrize(
+    "sql,hints,n",
+    [
+        ("SELECT d.a FROM REMOTE(far.rows) AS d WHERE d.b = 'x' AND d.a > 1", ({"b": "x"}, ["a", "b"], None), 2),
+        ("SELECT d.a FROM REMOTE(far.rows) d WHERE 3 = d.a", ({"a": 3}, ["a"], None), 1),
+        ("SELECT d.a FROM REMOTE(far.rows) AS d WHERE d.a = '3'", ({"a": "3"}, ["a"], None), 1),
+        ("SELECT d.a FROM REMOTE(far.rows) AS d WHERE d.b = 'x' OR d.a = 2", ({}, ["a", "b"], None), 4),
+        ("SELECT d.a FROM REMOTE(far.rows) AS d LIMIT 2", ({}, ["a"], 2), 2),
+        ("SELECT a FROM REMOTE(far.rows) AS d LIMIT 2", ({}, [], 2), 2),
+        ("SELECT * FROM REMOTE(far.rows) AS d ORDER BY d.a LIMIT 2", ({}, [], None), 2),
+        ("SELECT COUNT(*) AS n FROM REMOTE(far.rows) AS d LIMIT 1", ({}, [], None), 1),
+        ("SELECT parcel_id FROM parcels EXCEPT SELECT d.a FROM REMOTE(far.rows) AS d LIMIT 9", ({}, [], None), 6),
+        ("SELECT p.parcel_id FROM parcels p LEFT JOIN REMOTE(far.rows) AS d ON d.a = p.depot_id AND d.b = 'x'", ({}, ["a", "b"], None), 6),
+        ("SELECT d.a FROM REMOTE(far.rows) AS d WHERE d.b = 'none'", ({"b": "none"}, ["a", "b"], None), 0),
+    ],
+)
+def test_remote_hints(e, sql, hints, n):
+    far = Asked([{"a": 1, "b": "x"}, {"a": 2, "b": "y"}, {"a": 3, "b": "x"}, {"a": 4, "b": "x"}])
+    e.register_remote_provider("far", far)
+    got = e.execute(sql)
+    if "EXCEPT" in sql:
+        hints = ({}, ["a"], None)  # parcel_id is of the other SELECT
+    assert far.calls == [hints] and len(got.rows) == n
+
+
+def test_providers_may_give_spark_frames(e, spark):
+    class Frames:
+        def resolve(self, entity_type, params, limit):
+            return Membership("parcel", spark.createDataFrame([(11, 0.2), (11, 0.6), (None, 1.0)], "k long, s double"))
+
+    e.register_mcp_provider("frames", Frames(), entity_type="parcel", entity_key="parcel_id")
+    assert e.execute("SELECT parcel_id, CONTEXT_SCORE() AS s FROM parcels WHERE CONTEXT IN (MCP(frames))").rows == [(11, 0.6)]
+    e.register_remote_provider("lake", RowsProvider({"t": spark.range(3)}))
+    assert len(e.execute("SELECT r.id FROM REMOTE(lake.t) AS r WHERE r.id = 2").rows) == 1
+
+
+def test_row_policies(e, spark):
+    e.add_row_policy("parcels", "depot_id = session.depot", "clerk")
+    everything = set(ids(e.execute("SELECT parcel_id FROM parcels")))
+    e.principal = "Clerk"
+    with pytest.raises(SituError, match="E208"):
+        e.execute("SELECT parcel_id FROM parcels")
+    e.session = {"Depot": 1}
+    for sql in ("SELECT parcel_id FROM parcels", "SELECT parcels.parcel_id FROM parcels", "SELECT p.parcel_id FROM parcels AS p", "WITH x AS (SELECT * FROM parcels) SELECT parcel_id FROM x",
+                "SELECT parcel_id FROM (SELECT parcel_id FROM parcels)", "SELECT d.parcel_id FROM depots v JOIN parcels d ON v.depot_id = d.depot_id"):
+        assert set(ids(e.execute(sql))) == {11, 14}, sql
+    assert ids(e.execute("SELECT COUNT(*) AS n FROM depots WHERE depot_id IN (SELECT depot_id FROM parcels)")) == [1]
+    # Members are the same for all; a window of entities is of those that the principal sees.
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels WHERE CONTEXT IN (heavy)"))) == {11}
+    assert e.members("heavy").count() == 3
+    assert ids(e.execute("WITH CONTEXT WINDOW 1 SELECT parcel_id FROM parcels WHERE CONTEXT IN (heavy)")) == [11]
+    assert sum(r[2] for r in e.execute("SELECT * FROM HISTOGRAM(parcels.grams, 2) AS h").rows) == 2
+    assert set(ids(e.query("parcels").select("parcel_id").execute())) == {11, 14}
+    e.session = {"depot": "1' OR 'a' = 'a"}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):  # a value stays a value
+        e.execute("SELECT parcel_id FROM parcels").df.collect()
+    e.principal = "chief"
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels"))) == everything
+    e.add_row_policy("parcels", "stage <> 'handed'")
+    assert set(ids(e.execute("SELECT parcel_id FROM parcels"))) == {11, 12, 15, 16}
+    plan = e.explain("SELECT parcel_id FROM parcels")
+    assert "NOT (stage" in plan
+
+
+def test_classification_and_hidden_contexts(e):
+    e.execute("CREATE CONTEXT secret ON parcel_id CLASSIFICATION restricted AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (moving)")
+    e.execute("CREATE CONTEXT open_one ON parcel_id CLASSIFICATION public AS SELECT parcel_id FROM parcels WHERE CONTEXT IN (secret)")
+    shown = {r["name"]: r["classification"] for r in e.execute("SHOW CONTEXTS").df.collect()}
+    assert shown["open_one"] == shown["secret"] == "RESTRICTED" and shown["moving"] == ""
+    e.execute("GRANT USE ON CONTEXT moving TO ROLE clerk")
+    e.principal = "clerk"
+    assert [r["name"] for r in e.execute("SHOW CONTEXTS").df.collect()] == ["moving"]
+
+
+def test_freshness_and_schedules(e):
+    e.execute("CREATE CONTEXT kept ON parcel_id WITH (max_staleness = '10 minutes', refresh_schedule = 'every 5 minutes') AS SELECT parcel_id FROM parcels WHERE grams > 100")
+    e.execute("REFRESH CONTEXT kept")
+    kept, sql = e.catalog.contexts["kept"], "SELECT parcel_id FROM parcels WHERE CONTEXT IN (kept)"
+    codes = lambda: [d.code for d in e.execute(sql).diagnostics if d.code[:3] == "W01"]
+    assert codes() == [] and e.refresh_due() == []
+    kept.refreshed_at -= 900
+    assert codes() == ["W010"] and kept.state == "stale"
+    kept.refreshed_at -= 600
+    assert codes() == ["W012"]
+    before = kept.snapshot
+    e.execute("SET strict_freshness = true")
+    assert codes() == [] and kept.snapshot != before and kept.state == "active"
+    assert e.refresh_due(time.time() + 301) == ["kept"]
+    with pytest.raises(SituError, match="E001"):
+        e.catalog.contexts["kept"].options["refresh_schedule"] = "'whenever'"
+        e.refresh_due()
+
+
+def test_identities_across_systems(e, spark):
+    e.register_table("tickets", spark.createDataFrame([("T1",), ("T2",), ("T3",), (None,)], "ticket string"), primary_key="ticket")
+    e.register_identities(spark.createDataFrame([(11, "T1", 1.0), (13, "T1", 0.5), (15, "T2", 0.4), (15, None, 1.0), (12, "T3", 1.0)], "parcel_id long, ticket string, sure double"), "parcel_id", "ticket", "sure")
+    sql = "SELECT ticket, CONTEXT_SCORE() AS s FROM tickets WHERE CONTEXT IN (heavy) ORDER BY ticket"
+    with pytest.raises(SituError, match="E205"):
+        e.execute(sql)
+    e.execute("SET identity_mode = 'federated'")
+    assert [(t, round(s, 6)) for t, s in e.execute(sql).rows] == [("T1", 0.7), ("T2", 0.38)]
+    e.execute("SET identity_confidence = 0.9")
+    assert ids(e.execute(sql)) == ["T1"]
+    assert ids(e.execute("SELECT ticket FROM tickets WHERE CONTEXT IN (heavy)")) == ["T1"]
+
+
+def test_erasure_from_parts_of_streams(e, spark, tmp_path):
+    from situ.streaming.refresh import advance, parts, resume
+
+    folder = f"file://{tmp_path}/kept"
+    for i in range(3):
+        advance(e, "moving", spark.createDataFrame([(11 + i, i), (15, i)], "parcel_id long, n long"), "n", folder)
+    e.erase("moving", spark.createDataFrame([(15,), (12,)], "k long"))
+    assert {r[0] for r in e.members("moving").collect()} == {11, 13}
+    assert [p.rpartition("/")[2] for p in parts(spark, folder)] == ["part-0", "part-1", "part-2"]
+    # An erasure that stopped before the new part took the old one's place: the new one counts.
+    spark.createDataFrame([(11, 1.0, 0)], "__k long, __s double, __mark long").where("false").write.parquet(f"{folder}/part-0-erased")
+    resume(e, "moving", folder)
+    assert {r[0] for r in e.members("moving").collect()} == {13}
+    e.erase("moving", spark.createDataFrame([(99,)], "k long"))
+    assert {r[0] for r in e.members("moving").collect()} == {13} and len(parts(spark, folder)) == 3
+
+
+def test_pareto_in_ranges(e, spark):
+    from situ.operators import tables
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice((7.0, 7.0, float(rnd.randrange(400)), None)), i % 2) for i in range(3000)]
+    e.register_table("sales", spark.createDataFrame(rows, "id long, x double, half int").repartition(6), primary_key="id")
+
+    def shares(some):
+        some, total, run, out = sorted(some, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), sum(r[1] or 0 for r in some), 0, {}
+        for i, x, _ in some:
+            run += x or 0
+            out[i] = run / total
+        return out
+
+    got = e.execute("SELECT id, PARETO_SUM(x) AS share FROM sales")
+    assert dict(got.rows) == pytest.approx(shares(rows))
+    assert "hashpartitioning(_w" in e.explain("SELECT id, PARETO_SUM(x) AS share FROM sales")  # the windows over rows are of ranges
+    assert dict(e.execute("SELECT s.id, PARETO_SUM(s.x) AS share FROM sales s JOIN depots d ON d.depot_id = s.half WHERE s.id < 900").rows) == pytest.approx(shares([r for r in rows if r[2] == 1 and r[0] < 900]))
+    frame = tables.pareto(spark.table("sales"), "x", "id")
+    assert {r["id"]: r["share"] for r in frame.collect()} == pytest.approx(shares(rows))
+    for some in (rows[:1], [(1, None, 0), (2, None, 0)], [(1, 0.0, 0)], []):
+        few = tables.pareto(spark.createDataFrame(some, "id long, x double, half int"), "x", "id").collect()
+        assert len(few) == len(some) and all(r["share"] == (1.0 if r["x"] else None) for r in few)
+    assert e.execute("SELECT * FROM (SELECT *, PARETO_SUM(x) AS share FROM sales) t LIMIT 1").columns == ["id", "x", "half", "share"]
+    # The largest range is a small part, though two thirds of the rows have one value.
+    cuts = spark.sql("SELECT p.cuts FROM (SELECT 1)" + tables.pareto_join("x", ["id"], "p", "sales"))
+    assert len(cuts.first()[0]) == tables.CUTS
