@@ -474,3 +474,41 @@ def test_pareto_in_ranges(e, spark):
     # The largest range is a small part, though two thirds of the rows have one value.
     cuts = spark.sql("SELECT p.cuts FROM (SELECT 1)" + tables.pareto_join("x", ["id"], "p", "sales"))
     assert len(cuts.first()[0]) == tables.CUTS
+
+
+def test_demo_and_notebook(spark, capsys):
+    from situ.demo import demo
+    from situ.notebook import load_ipython_extension
+
+    class Shell:
+        def __init__(self):
+            self.user_ns, self.magics = {"engine": demo(spark, 40)}, {}
+
+        def register_magic_function(self, f, kind, name):
+            self.magics[name] = f
+
+    shell = Shell()
+    load_ipython_extension(shell)
+    situ = shell.magics["situ"]
+    worn = [i for i in range(1, 41) if i * 37 % 90 + 10 > 70]
+    assert sorted(situ("SELECT machine_id FROM machines WHERE CONTEXT IN (worn)")["machine_id"]) == worn
+    got = situ("--to kept --rows 3", "SELECT m.machine_id, s.spares, CONTEXT_SCORE() AS s FROM machines m JOIN REMOTE(depot.spares) AS s ON s.kind = m.kind WHERE CONTEXT ON m IN (worn, MCP(inspector) WEIGHT 2) ORDER BY CONTEXT")
+    assert len(got) == 3 and len(shell.user_ns["kept"]) > 3
+    assert "== Spark SQL ==" in situ("--explain", "SELECT 1")
+    assert situ("", "SELECT machine_id FROM machines WHERE CONTEXT IN (wron)") is None
+    assert "did you mean worn?" in capsys.readouterr().out
+    assert situ("", "SELECT CONFORMS_TO(smooth) AS fine FROM rentals") is None and "E001" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="--what"):
+        situ("--what", "SELECT 1")
+    odd = situ("--rows 999", "SELECT rental_id, CONFORMS_TO(rental_id, smooth) AS fine FROM rentals WHERE CONTEXT IN (costly, overdue)")
+    assert all(fine == (i % 2 == 0) for i, fine in zip(odd["rental_id"], odd["fine"])) and len(odd) > 20
+
+
+def test_bare_boolean_columns(e, spark):
+    e.register_table("flags", spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, up boolean"), primary_key="id")
+    e.register_context("some", "SELECT id FROM flags WHERE up", entity_key="id")
+    for sql in ("SELECT id FROM flags WHERE up", "SELECT id FROM flags WHERE (up)", "SELECT id FROM flags f WHERE f.up AND id < 9", "SELECT id FROM flags WHERE up AND CONTEXT IN (some)",
+                "SELECT id FROM flags WHERE CONTEXT IN (some) AND up", "SELECT id, PARETO_SUM(id) AS p, GLOBAL(SUM(id)) AS g FROM flags WHERE up"):
+        assert ids(e.execute(sql)) == [1], sql
+    e.add_row_policy("flags", "up")
+    assert ids(e.execute("SELECT id FROM flags")) == [1] and e.visible("flags").count() == 1
