@@ -8,7 +8,7 @@ from typing import Any
 
 from .errors import SituError, did_you_mean
 
-#: States of a context's life.
+#: States of a context's life, by names of this engine's own.
 STATES = ("draft", "validated", "active", "stale", "refreshing", "failed", "deprecated", "archived", "dropped")
 
 
