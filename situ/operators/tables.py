@@ -41,33 +41,38 @@ def _range(cuts: str, place: str) -> str:
 
 
 def pareto_join(x: str, ties: list[str], name: str, source: str) -> str:
-    """A join of one row that divides the order of ``source`` (what follows FROM) into ranges for pareto_text.
+    """A join of one row that divides the order of ``source`` (what follows FROM) into ranges for pareto_range.
 
     The cuts are the rows whose places have the smallest hashes: a sample by chance that is the same whenever it is taken,
     and that divides the rows of one frequent value by their ties.  One aggregation sums each range, and the sums before
-    each range are of so few rows.
+    each range are of so few rows.  The cuts are joined again after it, as 8 KB beside each row that is grouped fill a task.
     """
     place = _place(x, ties)
-    cuts = f"SELECT array_sort(collect_list(k)) AS cuts FROM (SELECT k FROM (SELECT {place} AS k FROM {source}) ORDER BY xxhash64(k), k LIMIT {CUTS})"
+    cuts = f"(SELECT array_sort(collect_list(k)) AS cuts FROM (SELECT k FROM (SELECT {place} AS k FROM {source}) ORDER BY xxhash64(k), k LIMIT {CUTS})) AS c"
     return (
-        f" CROSS JOIN (SELECT any_value(cuts) AS cuts, map_from_entries(collect_list(struct(b, before))) AS bases, max(total) AS total FROM"
-        f" (SELECT b, cuts, coalesce(sum(s) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM"
-        f" (SELECT {_range('cuts', 'k')} AS b, sum(x) AS s, any_value(cuts) AS cuts FROM (SELECT {place} AS k, {x} AS x FROM {source}) CROSS JOIN ({cuts}) GROUP BY 1))) AS {name}"
+        f" CROSS JOIN (SELECT /*+ BROADCAST(c) */ cuts, __bases, __total FROM (SELECT map_from_entries(collect_list(struct(b, struct(b, before)))) AS __bases, max(total) AS __total FROM"
+        f" (SELECT b, coalesce(sum(s) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM"
+        f" (SELECT /*+ BROADCAST(c) */ {_range('cuts', 'k')} AS b, sum(x) AS s FROM (SELECT {place} AS k, {x} AS x FROM {source}) CROSS JOIN {cuts} GROUP BY 1))) CROSS JOIN {cuts}) AS {name}"
     )
 
 
+def pareto_range(x: str, ties: list[str], name: str) -> str:
+    """A join after pareto_join that gives each row its range and the sum before it, so that windows carry no cuts."""
+    return f" CROSS JOIN LATERAL (SELECT {name}.__bases[{_range(f'{name}.cuts', _place(x, ties))}] AS __at) AS {name}b"
+
+
 def pareto_text(x: str, ties: list[str], name: str) -> str:
     """The share of the total that a row and all before it make up, over ranges that are summed side by side."""
-    b = _range(f"{name}.cuts", _place(x, ties))
     order = ", ".join([f"{x} DESC NULLS LAST", *ties])
-    running = f"sum({x}) OVER (PARTITION BY {b} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"(({name}.bases[{b}] + coalesce({running}, 0)) / nullif({name}.total, 0))"
+    running = f"sum({x}) OVER (PARTITION BY {name}b.__at.b ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"(({name}b.__at.before + coalesce({running}, 0)) / nullif({name}.__total, 0))"
 
 
 def pareto(rows: DataFrame, value: str, *ties: str, share: str = "share") -> DataFrame:
     """``rows`` with the share of the total of ``value`` that each row and all with larger values (then ties) make up."""
     x, keys = f"`{value}`", [f"`{t}`" for t in ties]
-    return rows.sparkSession.sql(f"SELECT __r.*, {pareto_text(x, keys, '__p')} AS `{share}` FROM {{__r}} AS __r{pareto_join(x, keys, '__p', '{__r}')}", __r=rows)
+    joins = pareto_join(x, keys, "__p", "{__r}") + pareto_range(x, keys, "__p")
+    return rows.sparkSession.sql(f"SELECT __r.*, {pareto_text(x, keys, '__p')} AS `{share}` FROM {{__r}} AS __r{joins}", __r=rows)
 
 
 def clusters(rows: DataFrame, k: int | None = None, seed: int = 42, steps: int = 20) -> DataFrame:

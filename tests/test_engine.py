@@ -476,6 +476,33 @@ def test_pareto_in_ranges(e, spark):
     assert len(cuts.first()[0]) == tables.CUTS
 
 
+def carried(frame):
+    """Types of the arrays and maps in the rows that a frame's windows and aggregations read."""
+    out, todo = [], [frame._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        todo += below
+        if node.nodeName() in ("Window", "Aggregate"):
+            types = [b.output().apply(i).dataType().typeName() for b in below for i in range(b.output().size())]
+            out += [t for t in types if t in ("array", "map")]
+    return out
+
+
+def test_pareto_rows_carry_no_cuts(e, spark):
+    rows = [(i, float(i % 7), i % 5) for i in range(500)]
+    e.register_table("deals", spark.createDataFrame(rows, "id long, total double, worth int"), primary_key="id")
+    e.register_context("odd_deal", "SELECT id FROM deals WHERE id % 2 = 1", entity_key="id")
+    for sql in ("SELECT id, PARETO_SUM(worth) AS p FROM deals", "SELECT id, PARETO_SUM(worth) AS p, PARETO_SUM(id) AS q FROM deals WHERE id > 9",
+                "SELECT id, PARETO_SUM(worth) AS p FROM deals WHERE CONTEXT IN (odd_deal)"):
+        assert carried(e.execute(sql).df) == [], sql
+    run, total, want = 0, sum(r[1] for r in rows), {}
+    for i, x, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        run += x
+        want[i] = run / total
+    assert dict(e.execute("SELECT id, PARETO_SUM(total) AS p FROM deals").rows) == pytest.approx(want)
+
+
 def test_demo_and_notebook(spark, capsys):
     from situ.demo import demo
     from situ.notebook import load_ipython_extension
