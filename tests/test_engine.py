@@ -503,6 +503,14 @@ def test_pareto_rows_carry_no_cuts(e, spark):
     assert dict(e.execute("SELECT id, PARETO_SUM(total) AS p FROM deals").rows) == pytest.approx(want)
 
 
+def test_pareto_frame_rows_carry_no_cuts(spark):
+    from situ.operators import tables
+
+    frame = tables.pareto(spark.range(300).selectExpr("id AS total", "id % 9 AS bases", "id"), "bases", "id")
+    assert frame.columns == ["total", "bases", "id", "share"] and carried(frame) == []
+    assert frame.where("total = 296").first()["share"] == pytest.approx(33 * 8 / sum(i % 9 for i in range(300)))  # 8, 17 … 296
+
+
 def test_demo_and_notebook(spark, capsys):
     from situ.demo import demo
     from situ.notebook import load_ipython_extension
